@@ -21,6 +21,7 @@ from twinloom.functions.values import (
     small_lookup,
     union_all,
 )
+from twinloom.runtime import small_frame
 
 # The preferred target columns, best first.
 PREFERRED_TARGETS = (
@@ -48,7 +49,8 @@ def _session(tables: dict[str, DataFrame]) -> SparkSession:
 
 def attr_frame(spark: SparkSession, attrs: list[Attr]) -> DataFrame:
     rows = [(a.id, a.table, a.column, a.position) for a in attrs]
-    return spark.createDataFrame(
+    return small_frame(
+        spark,
         rows, "attr int, table string, column string, position int"
     )
 
@@ -210,7 +212,7 @@ def small_domains(
     ]
     schema = "table string, column string, position int, value string, n bigint"
     if not narrow:
-        return spark.createDataFrame([], schema)
+        return small_frame(spark, [], schema)
     parts = []
     for name in dict.fromkeys(a.table for a in narrow):
         cells = [
@@ -371,7 +373,8 @@ def pick_compare_columns(
         for pi, f in enumerate(df.schema.fields)
         if is_numeric(f.dataType) and f.name != primary_keys.get(t)
     ]
-    frame = spark.createDataFrame(
+    frame = small_frame(
+        spark,
         rows, "table_pos int, table string, column string, position int"
     )
     turn = F.row_number().over(Window.partitionBy("table").orderBy("position"))

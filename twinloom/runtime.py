@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -28,3 +31,12 @@ def pinned(df: DataFrame) -> DataFrame:
     """Compute once, keep on shared storage, forget the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Metadata as a local relation: no tasks, and Catalyst sees its size."""
+    fields = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(fields)
+    columns = list(zip(*rows)) if rows else [[] for _ in fields.names]
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=fields)
