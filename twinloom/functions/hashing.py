@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import secrets
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,17 +32,25 @@ class Draws:
     decisions that need no secrecy. ``Draws.private()`` keys a SHA-256 stream
     with operating-system entropy: use it for noise on released counts. The key
     appears in query plans, so event logs need the same care as the data.
+
+    ``fast`` streams use xxhash64, several times cheaper and without an
+    equivalent in other SQL engines: for drawing rows from released counts,
+    which costs no privacy.
     """
 
     seed: int = 42
     secret: str | None = None
+    fast: bool = False
 
     @staticmethod
     def private(seed: int = 42) -> "Draws":
         return Draws(seed, secrets.token_hex(32))
 
     def for_table(self, table: str) -> "Draws":
-        return Draws(table_seed(self.seed, table), self.secret)
+        return replace(self, seed=table_seed(self.seed, table))
+
+    def for_sampling(self) -> "Draws":
+        return Draws(self.seed, fast=True)
 
     def digest(self, *key: Column) -> Column:
         parts = [F.coalesce(k.cast("string"), F.lit("")) for k in key]
@@ -53,6 +61,10 @@ class Draws:
 
     def uniform(self, *key: Column, draw: int = 0) -> Column:
         """Uniform in (0, 1). ``draw`` 0 and 1 are independent draws of one key."""
+        if self.fast:
+            bits = F.xxhash64(F.lit(self.seed), F.lit(draw), *key)
+            top = F.shiftrightunsigned(bits, 12).cast("double")
+            return (top + F.lit(0.5)) / F.lit(_SPAN)
         hexes = F.substring(self.digest(*key), 1 + draw * _DIGITS, _DIGITS)
         whole = F.conv(hexes, 16, 10).cast("bigint").cast("double")
         return (whole + F.lit(0.5)) / F.lit(_SPAN)

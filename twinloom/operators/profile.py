@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,7 +75,7 @@ def column_profile(tables: dict[str, DataFrame]) -> DataFrame:
     names = attr_frame(_session(tables), attrs)
     per_value = (
         long_values(tables, attrs)
-        .groupBy("attr", "kind", "l", "d", "s")
+        .groupBy("attr", "l", "d", "s")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     missing = F.col("l").isNull() & F.col("d").isNull() & F.col("s").isNull()
@@ -106,7 +106,6 @@ class Sketch:
     rows: int
     present: int
     approx: int
-    varied: bool
 
 
 def sketch_columns(tables: dict[str, DataFrame]) -> list[Sketch]:
@@ -126,7 +125,6 @@ def sketch_columns(tables: dict[str, DataFrame]) -> list[Sketch]:
                     F.lit(a.id).alias("attr"),
                     F.count(raw).alias("present"),
                     F.coalesce(estimate, F.lit(0).cast("bigint")).alias("approx"),
-                    (F.min(hashed) != F.max(hashed)).alias("varied"),
                 )
             )
         parts.append(
@@ -136,7 +134,7 @@ def sketch_columns(tables: dict[str, DataFrame]) -> list[Sketch]:
         )
     collected = union_all(parts).select("rows", "f.*").collect()  # one row per column
     return [
-        Sketch(attrs[r.attr], r.rows, r.present, r.approx, bool(r.varied))
+        Sketch(attrs[r.attr], r.rows, r.present, r.approx)
         for r in sorted(collected, key=lambda r: r.attr)
     ]
 
@@ -146,7 +144,7 @@ def _exactly_unique(tables: dict[str, DataFrame], attrs: list[Attr]) -> set[int]
     renumbered = [Attr(i, a.table, a.column, a.position, a.dtype) for i, a in enumerate(attrs)]
     repeated = (
         long_values(tables, renumbered)
-        .groupBy("attr", "kind", "l", "d", "s")
+        .groupBy("attr", "l", "d", "s")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("attr")
         .agg(F.max("n").alias("most"))
@@ -189,6 +187,17 @@ def infer_primary_keys(
     return {t: keys.get(t, df.columns[0]) for t, df in tables.items()}
 
 
+def _plain_slots(a: Attr) -> list[Column]:
+    """The value in the slot of its type, as it is."""
+    value = F.col(f"`{a.column}`")
+    whole, real = is_integral(a.dtype), isinstance(a.dtype, T.DoubleType)
+    return [
+        (value.cast("bigint") if whole else F.lit(None).cast("bigint")).alias("l"),
+        (value if real else F.lit(None).cast("double")).alias("d"),
+        (F.lit(None).cast("string") if whole or real else value.cast("string")).alias("s"),
+    ]
+
+
 def small_domains(
     tables: dict[str, DataFrame],
     limit: int,
@@ -216,25 +225,26 @@ def small_domains(
     parts = []
     for name in dict.fromkeys(a.table for a in narrow):
         cells = [
-            F.struct(
-                F.lit(a.column).alias("column"),
-                F.lit(a.position).alias("position"),
-                F.col(f"`{a.column}`").cast("string").alias("value"),
-            )
-            for a in narrow
+            F.struct(F.lit(i).alias("attr"), *_plain_slots(a))
+            for i, a in enumerate(narrow)
             if a.table == name
         ]
-        parts.append(
-            tables[name].select(
-                F.lit(name).alias("table"), F.explode(F.array(*cells)).alias("c")
-            )
-        )
+        parts.append(tables[name].select(F.inline(F.array(*cells))))
+    # numbers become text only after the grouping
+    value = F.coalesce(F.col("l").cast("string"), F.col("d").cast("string"), F.col("s"))
+    labels = small_frame(
+        spark,
+        [(i, a.table, a.column, a.position) for i, a in enumerate(narrow)],
+        "attr int, table string, column string, position int",
+    )
     counted = (
         union_all(parts)
-        .select("table", "c.*")
-        .where(F.col("value").isNotNull() & (F.col("value") != "NaN"))
-        .groupBy("table", "column", "position", "value")
+        .groupBy("attr", "l", "d", "s")
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("value", value)
+        .where(F.col("value").isNotNull() & (F.col("value") != "NaN"))
+        .join(F.broadcast(labels), "attr")
+        .select("table", "column", "position", "value", "n")
     )
     width = F.count(F.lit(1)).over(Window.partitionBy("table", "column"))
     return counted.withColumn("w", width).where(F.col("w") <= limit).drop("w")
@@ -277,7 +287,9 @@ def column_types(
         found = values.get((a.table, a.column), [])
         wordy = is_text(a.dtype) or isinstance(a.dtype, T.BooleanType)
         few = is_numeric(a.dtype) and 0 < len(found) <= max_categories
-        discrete = (wordy or few) and s.varied
+        # more than two by the sketch is at least two; up to two was counted exactly
+        varied = len(found) >= 2 or s.approx > 2
+        discrete = (wordy or few) and varied
         if is_numeric(a.dtype) and not isinstance(a.dtype, T.BooleanType):
             found = sorted(found, key=float)
         else:

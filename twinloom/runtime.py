@@ -10,6 +10,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings that suit this package's plans; safe to change on a live session.
+
+    HotSpot never compiles a method of more than 8000 bytes of bytecode, so a
+    longer generated stage would run interpreted; Spark falls back to compiled
+    single operators instead when told the same limit.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only where none is set."""
     context = spark.sparkContext
