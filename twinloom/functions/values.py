@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LONG_TEXT = 48
+_KINDS = "ntsbx"  # number, time, text, binary, other
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -132,7 +133,7 @@ def long_values(
             cells.append(
                 F.struct(
                     F.lit(a.id).alias("attr"),
-                    F.lit(kind).alias("kind"),
+                    F.lit(_KINDS.index(kind)).cast("tinyint").alias("kind"),
                     l.alias("l"),
                     d.alias("d"),
                     s.alias("s"),

@@ -18,18 +18,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-Walk = Callable[[str, pd.DataFrame, np.ndarray, np.ndarray], dict]
+Walk = Callable[[pd.DataFrame, np.ndarray, np.ndarray], dict]
 
 
 def walk_ranges(
-    counts: DataFrame, group: str, axis: str, first: str, second: str, walk, schema: str
+    counts: DataFrame,
+    group: str,
+    axis: str,
+    first: str,
+    second: str,
+    walk: Walk,
+    schema: str,
+    constants: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (range, group) with the totals and the numbers ``walk`` reports.
 
     ``counts`` holds one row per (group, axis value) with two integer counts.
     ``walk(rows, a, b)`` gets rows of one group in axis order with the running
-    totals before each row, and returns a dict of partial results; ``fold`` in
-    the schema names combine as min, max or sum by their prefix.
+    totals before each row, and returns a dict of partial results, which combine
+    as minimum, maximum or sum by the prefix ``lo_``, ``hi_`` or none of their
+    names. ``constants`` (a row per group) is attached after the shuffle.
     """
     fields = [part.split()[0] for part in schema.split(",")]
 
@@ -73,9 +81,11 @@ def walk_ranges(
 
     key_type = dict(counts.dtypes)[group]
     axis_type = dict(counts.dtypes)[axis]
+    ranged = counts.repartitionByRange(group, axis)
+    if constants is not None:
+        ranged = ranged.join(F.broadcast(constants), group)
     reports = (
-        counts.repartitionByRange(group, axis)
-        .sortWithinPartitions(group, axis)
+        ranged.sortWithinPartitions(group, axis)
         .mapInPandas(
             per_range,
             f"{group} {key_type}, starts_at {axis_type}, tot_a bigint, tot_b bigint, {schema}",
