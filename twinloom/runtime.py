@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,20 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name on the shared storage."""
+    return f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
+def stored(tables: dict[str, DataFrame], folder: str | None = None) -> dict[str, DataFrame]:
+    """Write tables as Parquet and read them back: computed once, read by column."""
+    spark = next(iter(tables.values())).sparkSession
+    folder = folder or scratch_folder(spark)
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}")
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in tables}
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Metadata as a local relation: no tasks, and Catalyst sees its size."""
     fields = T._parse_datatype_string(schema)

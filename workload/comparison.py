@@ -12,6 +12,7 @@ from twinloom.plans.evaluate import evaluate
 from twinloom.plans.sweep import epsilon_sweep
 from twinloom.plans.discover import Discovery
 from twinloom.operators.profile import sketch_columns
+from twinloom.runtime import stored
 from workload.base import (
     KEYS,
     PRIMARY_KEYS,
@@ -573,7 +574,7 @@ def evaluate_all(spark, sf):
     """All metrics of synthetic customer, orders and lineitem."""
     real, made = _synthesis(spark, sf)
     keys = {**_CHAIN_KEYS, "customer": "c_custkey"}
-    return evaluate(real, made.tables, _CHAIN_RELS, keys, KEYS)
+    return evaluate(real, stored(made.tables), _CHAIN_RELS, keys, KEYS)
 
 
 @query("epsilon_sweep")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +12,7 @@ from twinloom.operators.marginals import MISSING, Domain
 from twinloom.operators.profile import category_domain, row_counts
 from twinloom.operators.ranges import dense_index
 from twinloom.plans.synthesize import synthesize
-from twinloom.runtime import ensure_checkpoint_dir, pinned
+from twinloom.runtime import pinned, scratch_folder
 from twinloom.sources.tables import (
     load_tables,
     preview,
@@ -249,11 +247,6 @@ def mechanism_ledger(spark, sf):
 # ---------------------------------------------------------------- output
 
 
-def _scratch(spark):
-    """A fresh folder on the storage that the session shares."""
-    return f"{ensure_checkpoint_dir(spark)}/out-{uuid.uuid4().hex}"
-
-
 @query(
     "write_read_csv",
     """SELECT 'customer' AS "table", count(*) AS n_rows, round(sum(c_acctbal), 2) AS checksum FROM customer
@@ -263,7 +256,7 @@ def _scratch(spark):
 def write_read_csv(spark, sf):
     """Write a CSV bundle, read it back with the tables' types, count and sum."""
     tables = load(spark, sf, "customer", "orders", "documents")
-    folder = _scratch(spark)
+    folder = scratch_folder(spark)
     manifest = write_csv_bundle(tables, folder, {t: "copied" for t in tables})
     measures = {
         "customer": F.sum("c_acctbal"),
@@ -286,7 +279,7 @@ def write_read_csv(spark, sf):
 )
 def load_csv(spark, sf):
     """Read a headed CSV with inferred types under the name its path gives it."""
-    folder = _scratch(spark)
+    folder = scratch_folder(spark)
     path = f"{folder}/confidential_key-customer.csv"
     load(spark, sf, "customer")["customer"].write.option("header", True).csv(path)
     table = load_tables(spark, [path])["Key_Customer"]
@@ -303,7 +296,7 @@ def load_csv(spark, sf):
 )
 def save_tables_query(spark, sf):
     tables = load(spark, sf, *_CHAIN_TABLES)
-    folder = _scratch(spark)
+    folder = scratch_folder(spark)
     out = None
     for i, t in enumerate(save_tables(tables, list(_CHAIN_TABLES), folder=folder), start=1):
         part = spark.read.parquet(f"{folder}/{t}").agg(F.count(F.lit(1)).alias("n"))
