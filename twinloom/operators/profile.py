@@ -40,7 +40,7 @@ TARGET_CLASSES = (2, 10)
 _SKETCH_LG_K = 12
 _SKETCH_ERROR = 0.02
 # Ten standard errors of the sketch: a column below this share is not unique.
-_NEAR_UNIQUE = 1.0 - 10 * _SKETCH_ERROR
+NEAR_UNIQUE = 1.0 - 10 * _SKETCH_ERROR
 
 
 def _session(tables: dict[str, DataFrame]) -> SparkSession:
@@ -170,7 +170,7 @@ def infer_primary_keys(
         fit = [
             s.attr
             for s in mine
-            if s.present == s.rows and s.approx >= _NEAR_UNIQUE * s.rows
+            if s.present == s.rows and s.approx >= NEAR_UNIQUE * s.rows
         ]
         queues[name] = sorted(fit, key=lambda a: (a.column != "id", a.position))
     keys: dict[str, str] = {}
