@@ -45,12 +45,22 @@ def compact_text(col: Column) -> Column:
     )
 
 
+def micros(col: Column, dtype: T.DataType) -> Column:
+    """Microseconds since 1970 of a date or time; zoneless times do not see the session's zone."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col)
+    days = F.unix_date(col.cast("date")).cast("bigint") * F.lit(86_400_000_000)
+    if isinstance(dtype, T.DateType):
+        return days
+    clock = F.hour(col).cast("bigint") * 3600 + F.minute(col) * 60
+    fraction = F.extract(F.lit("SECOND"), col) * F.lit(1_000_000)
+    return days + clock * F.lit(1_000_000) + fraction.cast("bigint")
+
+
 def as_double(col: Column, dtype: T.DataType) -> Column:
     """Numeric reading of a column; NaN and unreadable text become NULL."""
-    if isinstance(dtype, T.DateType):
-        col = F.unix_date(col).cast("double") * F.lit(86400.0)
-    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        col = F.unix_micros(col.cast("timestamp")).cast("double") / F.lit(1e6)
+    if is_temporal(dtype):
+        col = micros(col, dtype).cast("double") / F.lit(1e6)
     elif is_text(dtype):
         col = col.try_cast("double")
     elif is_numeric(dtype):
@@ -79,10 +89,8 @@ def slots(col: Column, dtype: T.DataType) -> tuple[str, Column, Column, Column]:
         if dtype.precision <= 15:
             return slots(col.cast("double"), T.DoubleType())
         return "x", no_l, no_d, col.cast("string")
-    if isinstance(dtype, T.DateType):
-        return "t", F.unix_date(col).cast("bigint") * F.lit(86400000000), no_d, no_s
     if is_temporal(dtype):
-        return "t", F.unix_micros(col.cast("timestamp")), no_d, no_s
+        return "t", micros(col, dtype), no_d, no_s
     if isinstance(dtype, T.BinaryType):
         return "b", no_l, no_d, F.sha2(col, 256)
     if is_text(dtype):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinloom.functions.naming import KeyNames
-from twinloom.functions.values import union_all
+from twinloom.functions.values import as_double, union_all
 from twinloom.operators import auc, compare, density, features, fidelity, integrity, learn, nearest
 from twinloom.operators.graph import parents_of
 from twinloom.plans.evaluate import evaluate
@@ -476,7 +476,7 @@ def dcr_cells(spark, sf):
     """The search for point sets too large to broadcast, on whole ``orders``."""
 
     def points(df):
-        day = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86400e6
+        day = as_double(F.col("o_orderdate"), df.schema["o_orderdate"].dataType) / 86400.0
         return df.select(F.array("o_totalprice", day).alias("x"))
 
     real, synth = _order_halves(spark, sf)
@@ -532,6 +532,24 @@ def _run_sql(where):
     )
 
 
+def _run(li, where):
+    """The three headline metrics of a part of ``lineitem``."""
+    mine = li.where(where).withColumn("guess", F.expr(_GUESS)).withColumn("hit", F.expr(_HIT))
+    ks = fidelity.ks_statistics(
+        {"lineitem": (mine, li.where(_SYNTH))}, {"lineitem": ["l_quantity", "l_extendedprice"]}
+    ).agg(F.avg("value").alias("value"))
+    right = auc.accuracy(mine, "l_linestatus", "guess").select(
+        (F.col("accuracy") * 100.0).alias("value")
+    )
+    area = auc.auc_binary(mine, "l_extendedprice", "hit").select(F.col("auc").alias("value"))
+    return union_all(
+        [
+            df.select(F.lit(m).alias("metric"), "value")
+            for m, df in (("avg_ks", ks), ("tstr_acc_pct", right), ("tstr_auc", area))
+        ]
+    )
+
+
 @query(
     "compare_runs",
     f"""WITH a AS ({_run_sql(_RUNS["a"])}), b AS ({_run_sql(_RUNS["b"])}),
@@ -542,25 +560,7 @@ def _run_sql(where):
 )
 def compare_runs(spark, sf):
     li = load(spark, sf, "lineitem")["lineitem"]
-
-    def run(where):
-        mine = li.where(where).withColumn("guess", F.expr(_GUESS)).withColumn("hit", F.expr(_HIT))
-        ks = fidelity.ks_statistics(
-            {"lineitem": (mine, li.where(_SYNTH))},
-            {"lineitem": ["l_quantity", "l_extendedprice"]},
-        ).agg(F.avg("value").alias("value"))
-        right = auc.accuracy(mine, "l_linestatus", "guess").select(
-            (F.col("accuracy") * 100.0).alias("value")
-        )
-        area = auc.auc_binary(mine, "l_extendedprice", "hit").select(F.col("auc").alias("value"))
-        return union_all(
-            [
-                df.select(F.lit(m).alias("metric"), "value")
-                for m, df in (("avg_ks", ks), ("tstr_acc_pct", right), ("tstr_auc", area))
-            ]
-        )
-
-    return compare.compare_runs(run(_RUNS["a"]), run(_RUNS["b"])).select(
+    return compare.compare_runs(_run(li, _RUNS["a"]), _run(li, _RUNS["b"])).select(
         "metric",
         F.round("a", 6).alias("a"),
         F.round("b", 6).alias("b"),
@@ -569,6 +569,24 @@ def compare_runs(spark, sf):
     )
 
 
+_EXPECTED = {"avg_ks": 0.274, "tstr_acc_pct": 50.0, "tstr_auc": 0.509, "cardinality_error": 0.0}
+
+
+@query(
+    "match_expected",
+    f"""WITH a AS ({_run_sql(_RUNS["a"])}),
+             e(metric, expected) AS (VALUES {", ".join(f"('{m}', {v}::DOUBLE)" for m, v in _EXPECTED.items())})
+        SELECT e.metric, round(a.v, 6) AS value, expected, coalesce(abs(a.v - expected) < 0.02e0, false) AS matches
+        FROM e LEFT JOIN a ON a.metric = e.metric""",
+)
+def match_expected(spark, sf):
+    """Measured metrics against recorded ones; a metric that was not measured does not match."""
+    li = load(spark, sf, "lineitem")["lineitem"]
+    return compare.match_expected(_run(li, _RUNS["a"]), _EXPECTED).select(
+        "metric", F.round("value", 6).alias("value"), "expected", "matches"
+    )
+
+
 @query("evaluate_all")
 def evaluate_all(spark, sf):
     """All metrics of synthetic customer, orders and lineitem."""
