@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -200,22 +201,25 @@ def _plain_slots(a: Attr) -> list[Column]:
 
 def small_domains(
     tables: dict[str, DataFrame],
-    limit: int,
+    limit: int | Callable[[Attr], int],
     sketches: list[Sketch] | None = None,
     keep=None,
 ) -> DataFrame:
     """(table, column, position, value, n) of the columns with at most ``limit`` values.
 
+    ``limit`` is a number, or gives one per column.
+
     Sketches drop the wide columns first, so the exact counting that follows
     shuffles no more than a few dozen rows per task and column.
     """
     spark = _session(tables)
     sketches = sketches if sketches is not None else sketch_columns(tables)
+    cap = limit if callable(limit) else lambda attr: limit
     narrow = [
         s.attr
         for s in sketches
         if s.present > 0
-        and s.approx <= limit * (1 + 10 * _SKETCH_ERROR) + 5
+        and s.approx <= cap(s.attr) * (1 + 10 * _SKETCH_ERROR) + 5
         and is_scalar(s.attr.dtype)
         and (keep is None or keep(s.attr))
     ]
@@ -234,8 +238,8 @@ def small_domains(
     value = F.coalesce(F.col("l").cast("string"), F.col("d").cast("string"), F.col("s"))
     labels = small_frame(
         spark,
-        [(i, a.table, a.column, a.position) for i, a in enumerate(narrow)],
-        "attr int, table string, column string, position int",
+        [(i, a.table, a.column, a.position, cap(a)) for i, a in enumerate(narrow)],
+        "attr int, table string, column string, position int, cap int",
     )
     counted = (
         union_all(parts)
@@ -244,10 +248,10 @@ def small_domains(
         .withColumn("value", value)
         .where(F.col("value").isNotNull() & (F.col("value") != "NaN"))
         .join(F.broadcast(labels), "attr")
-        .select("table", "column", "position", "value", "n")
+        .select("table", "column", "position", "value", "n", "cap")
     )
     width = F.count(F.lit(1)).over(Window.partitionBy("table", "column"))
-    return counted.withColumn("w", width).where(F.col("w") <= limit).drop("w")
+    return counted.withColumn("w", width).where("w <= cap").drop("w", "cap")
 
 
 @dataclass(frozen=True)
@@ -264,18 +268,25 @@ def column_types(
     tables: dict[str, DataFrame],
     max_categories: int = MAX_CATEGORIES,
     sketches: list[Sketch] | None = None,
+    max_text_categories: int | None = None,
 ) -> list[ColumnType]:
     """Text and boolean columns, and numbers with few values, are discrete.
 
+    Categories are listed up to ``max_categories``, of texts up to
+    ``max_text_categories`` (by default the same).
+
     A column with fewer than two values counts as continuous. Nested columns
     have no type here.
     """
     sketches = sketches if sketches is not None else sketch_columns(tables)
+    text_limit = max_text_categories or max_categories
     rows = (
-        small_domains(tables, max_categories, sketches)
+        small_domains(
+            tables, lambda a: text_limit if is_text(a.dtype) else max_categories, sketches
+        )
         .select("table", "column", "value")
         .collect()
-    )  # at most max_categories rows per column
+    )  # a bounded number of rows per column
     values: dict[tuple[str, str], list[str]] = {}
     for r in rows:
         values.setdefault((r.table, r.column), []).append(r.value)
