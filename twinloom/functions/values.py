@@ -52,9 +52,10 @@ def micros(col: Column, dtype: T.DataType) -> Column:
     days = F.unix_date(col.cast("date")).cast("bigint") * F.lit(86_400_000_000)
     if isinstance(dtype, T.DateType):
         return days
-    clock = F.hour(col).cast("bigint") * 3600 + F.minute(col) * 60
-    fraction = F.extract(F.lit("SECOND"), col) * F.lit(1_000_000)
-    return days + clock * F.lit(1_000_000) + fraction.cast("bigint")
+    clock = F.hour(col).cast("bigint") * 3600 + F.minute(col) * 60 + F.second(col)
+    # zones differ by whole seconds, so the fraction may be read in any of them
+    fraction = F.pmod(F.unix_micros(col.cast("timestamp")), F.lit(1_000_000))
+    return days + clock * F.lit(1_000_000) + fraction
 
 
 def as_double(col: Column, dtype: T.DataType) -> Column:
