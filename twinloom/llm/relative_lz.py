@@ -208,9 +208,14 @@ def _finish(names: list[str], text_at: str, window: int, schema: pa.Schema):
     return run
 
 
-_RESULTS = T._parse_datatype_string(
-    "n_words long, n_removed long, kept_text string,"
-    " factors array<struct<start:long, words:long, from_doc:long, from_start:long>>"
+_FACTOR = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "words", "from_doc", "from_start")])
+_RESULTS = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("n_removed", T.LongType()),
+        T.StructField("kept_text", T.StringType()),
+        T.StructField("factors", T.ArrayType(_FACTOR)),
+    ]
 )
 
 
