@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from twinloom.llm.relative_lz import op4_relative_lz
+from twinloom.llm.suffix_array import op5_suffix_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_relative_lz,
+        op5_suffix_array,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -267,3 +267,26 @@ def repeated_anchors(docs: DataFrame, shape: Shape) -> DataFrame:
     n = partitions(docs.sparkSession)
     asked = docs.select("doc_id", "text").mapInArrow(_ask(shape, n), _ASK)
     return asked.repartitionById(n, F.col("bucket")).mapInArrow(_answer(n), _ANSWER)
+
+
+def dealt_by_id(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with an id, dealt by it under the key ``__id``, and rows without one.
+
+    Two joins on ``__id`` that read all columns share this one exchange of the texts.
+    """
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    dealt = keyed.where(F.col("__id").isNotNull()).repartition(partitions(docs.sparkSession), "__id")
+    return dealt, docs.where(F.col("doc_id").cast("long").isNull())
+
+
+def joined_lists(dealt: DataFrame, rows: DataFrame, columns: list[str], name: str, how: str) -> DataFrame:
+    """The dealt rows with the list of their ``rows`` (by doc_id), built on the narrow side."""
+    lists = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct(*columns)).alias(name))
+    return dealt.join(lists.hint("shuffle_hash"), "__id", how)
+
+
+def found_lists(batch: pa.RecordBatch) -> list[list[dict] | None]:
+    """The lists of a batch; rows without an id were not joined and have none."""
+    if "__found" not in batch.schema.names:
+        return [None] * batch.num_rows
+    return batch.column("__found").to_pylist()
