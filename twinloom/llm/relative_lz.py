@@ -31,7 +31,6 @@ from twinloom.llm.common import (
     partitions,
     run_starts,
     sliding_sum,
-    stored,
     unpacked,
     word_hashes,
 )
@@ -42,7 +41,13 @@ from twinloom.llm.repeats import (
     bucket_of,
     bucket_rows,
     by_document,
+    dealt_by_id,
+    found_of,
+    group_rows,
+    group_schema,
+    marked_windows,
     repeated_anchors,
+    with_findings,
 )
 
 FLUSH_WINDOWS = 2_000_000
@@ -52,10 +57,7 @@ _ASKED = ["high", "low", "docs", "starts"]
 _KNOWN = ["known_docs", "known_starts", "known_from", "known_at"]
 _WINDOW = "bucket int, " + ", ".join(f"{c} binary" for c in _ASKED + _KNOWN)
 _WINDOW_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in _ASKED + _KNOWN])
-_PLACES = ["starts", "from_docs", "from_starts"]
-_PLACE = "doc_id long, " + ", ".join(f"{c} binary" for c in _PLACES)
-_PLACE_SCHEMA = pa.schema([("doc_id", pa.int64())] + [(c, pa.binary()) for c in _PLACES])
-_TYPES = {"starts": np.uint32, "from_docs": np.int64, "from_starts": np.uint32}
+_PLACES = {"starts": np.uint32, "from_docs": np.int64, "from_starts": np.uint32}
 
 
 def _earlier(high, low, docs, starts):
@@ -90,18 +92,13 @@ def _ask_windows(shape: Shape, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            flagged = batch.column("places").to_pylist()
+            ids = batch.column("__id").to_numpy(zero_copy_only=False)
+            found = found_of(batch)
             for block in blocks(shape, as_bytes(batch.column("text"))):
                 a = anchored(shape, block)
                 if not len(a.starts):
                     continue
-                marked = np.zeros(len(block.values), dtype=bool)
-                for k, place in enumerate(block.places):
-                    at = unpacked(flagged[place], np.uint32).astype(np.int64)
-                    at = at[at < block.offsets[k + 1] - block.offsets[k]]
-                    marked[at + block.offsets[k]] = True
-                mine = marked[a.anchors]
+                mine = marked_windows(block, a, found)
                 at, text = a.starts[mine], a.texts[mine]
                 parts.append(
                     (
@@ -121,29 +118,30 @@ def _ask_windows(shape: Shape, n: int):
     return run
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(n: int):
     """One block of the reference: its windows' first places, and who else has them."""
-    got: dict[str, list[bytes]] = {c: [] for c in _ASKED + _KNOWN}
-    for batch in batches:
-        for c in got:
-            got[c] += batch.column(c).to_pylist()
-    high, low = unpacked(got["high"], np.uint64), unpacked(got["low"], np.uint32)
-    _, later, first, docs, starts = _earlier(
-        high, low, unpacked(got["docs"], np.int64), unpacked(got["starts"], np.uint32)
-    )
-    who, found = by_document(
-        np.concatenate([docs[later], unpacked(got["known_docs"], np.int64)]),
-        {
-            "starts": np.concatenate([starts[later], unpacked(got["known_starts"], np.uint32)]),
-            "from_docs": np.concatenate([docs[first][later], unpacked(got["known_from"], np.int64)]),
-            "from_starts": np.concatenate([starts[first][later], unpacked(got["known_at"], np.uint32)]),
-        },
-    )
-    if len(who):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(who)] + [pa.array(found[c], type=pa.binary()) for c in _PLACES], schema=_PLACE_SCHEMA
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[str, list[bytes]] = {c: [] for c in _ASKED + _KNOWN}
+        for batch in batches:
+            for c in got:
+                got[c] += batch.column(c).to_pylist()
+        high, low = unpacked(got["high"], np.uint64), unpacked(got["low"], np.uint32)
+        _, later, first, docs, starts = _earlier(
+            high, low, unpacked(got["docs"], np.int64), unpacked(got["starts"], np.uint32)
+        )
+        yield from group_rows(
+            n,
+            np.concatenate([docs[later], unpacked(got["known_docs"], np.int64)]),
+            {
+                "starts": np.concatenate([starts[later], unpacked(got["known_starts"], np.uint32)]),
+                "from_docs": np.concatenate([docs[first][later], unpacked(got["known_from"], np.int64)]),
+                "from_starts": np.concatenate([starts[first][later], unpacked(got["known_at"], np.uint32)]),
+            },
         )
 
+    return run
+
 
 def factor(starts: np.ndarray, docs: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
     """Greedy factors (start, words, from_doc, from_start) of one document.
@@ -170,11 +168,11 @@ def _cut(text: bytes, n_words: int, factors: np.ndarray) -> tuple[int, bytes]:
     return n_words - int(keep.sum()), b" ".join([w for w, k in zip(words, keep.tolist()) if k])
 
 
-def _finish(names: list[str], text_at: str, window: int, schema: pa.Schema):
+def _finish(text_at: str, window: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(text_at))
-            found = batch.column("__found").to_pylist()
+            found = found_of(batch)
             total, removed, kept, spans = [], [], [], []
             for text, parts in zip(texts, found):
                 if not parts:
@@ -184,7 +182,7 @@ def _finish(names: list[str], text_at: str, window: int, schema: pa.Schema):
                     kept.append(b" ".join(words))
                     spans.append([])
                     continue
-                got = {c: unpacked([x[c] for x in parts], _TYPES[c]).astype(np.int64) for c in _PLACES}
+                got = {c: np.frombuffer(parts[c], t).astype(np.int64) for c, t in _PLACES.items()}
                 _, once = np.unique(got["starts"], return_index=True)
                 factors = factor(*(got[c][once] for c in _PLACES), window)
                 total.append(len(text.split()))
@@ -235,37 +233,16 @@ def remove_repeated_text(docs: DataFrame, window: int = 20, gram: int = 8) -> Da
     shape = Shape("words", window, gram)
     n = partitions(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name not in _RESULTS.names]
-    # Rows without an id get keys of their own, so that they do not meet in one task.
-    base = docs.select(*[f.name for f in keep]).withColumns(
-        {
-            "__id": F.col("doc_id").cast("long"),
-            "__lone": F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")),
-        }
-    )
-    known = base.where(F.col("__id").isNotNull())
-    flags = repeated_anchors(known.select(F.col("__id").alias("doc_id"), "text"), shape)
-    flags = (
-        stored(flags)
-        .where(F.col("doc_id").isNotNull())
-        .groupBy(F.col("doc_id").alias("__id"), F.lit(0).cast("long").alias("__lone"))
-        .agg(F.collect_list("places").alias("places"))
-    )
-    dealt = base.repartition(n, "__id", "__lone")  # the texts move once; both joins read this
-    asked = (
-        dealt.join(flags.hint("shuffle_hash"), ["__id", "__lone"])
-        .select(F.col("__id").alias("doc_id"), "text", "places")
-        .mapInArrow(_ask_windows(shape, n), _WINDOW)
-    )
-    found = (
-        asked.repartitionById(n, F.col("bucket"))
-        .mapInArrow(_index, _PLACE)
-        .groupBy(F.col("doc_id").alias("__id"), F.lit(0).cast("long").alias("__lone"))
-        .agg(F.collect_list(F.struct(*_PLACES)).alias("__found"))
-    )
+    base = docs.select(*[f.name for f in keep])
+    dealt, lone = dealt_by_id(base)
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    answers, _ = repeated_anchors(base.where(F.col("doc_id").isNotNull()).select(ids, "text"), shape)
+    asked = with_findings(dealt, answers, "inner").mapInArrow(_ask_windows(shape, n), _WINDOW)
+    found = asked.repartitionById(n, F.col("bucket")).mapInArrow(_index(n), group_schema(_PLACES)[0])
     schema = T.StructType(keep + _RESULTS.fields)
-    joined = dealt.join(found.hint("shuffle_hash"), ["__id", "__lone"], "left")
-    joined = joined.select(*[f.name for f in keep], "__found")
-    return joined.mapInArrow(_finish(joined.columns, "text", window, to_arrow_schema(schema)), schema)
+    finish = _finish("text", window, to_arrow_schema(schema))
+    whole = with_findings(dealt, by_document(found, _PLACES), "left").mapInArrow(finish, schema)
+    return whole.unionByName(lone.mapInArrow(finish, schema))
 
 
 def op4_relative_lz(spark, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ anchor, and only windows of repeated anchors need a closer look.
 
 ``repeated_anchors`` finds these anchors. A task sends every distinct anchor once to the
 anchor's bucket; what repeats within the task is known there and asks for nothing, so
-that a passage found in a third of all documents loads no bucket. Buckets answer by
-document. Rows carry packed arrays instead of one row per anchor.
+that a passage found in a third of all documents loads no bucket. Buckets answer to
+groups of documents. Rows carry packed arrays instead of one row per anchor.
 """
 
 from __future__ import annotations
@@ -29,14 +29,15 @@ from twinloom.llm.common import (
     partitions,
     run_starts,
     sliding_min,
+    stored,
     text_segments,
     unpacked,
     word_hashes,
 )
 
 FLUSH_ANCHORS = 3_000_000  # anchors that a task holds before it sends them
-HOT_ANCHORS = 65_536  # at most so many anchors count as hot
-HOT_LEAST = 256  # occurrences
+HOT_PER_BUCKET = 32  # an anchor is hot with that fraction of its bucket's occurrences
+HOT_LEAST = 1024  # occurrences
 
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -130,8 +131,7 @@ _ASK_SCHEMA = pa.schema(
     [("bucket", pa.int32())]
     + [(c, pa.binary()) for c in ("hashes", "docs", "places", "known_docs", "known_places")]
 )
-_ANSWER = "doc_id long, places binary, hot long"
-_ANSWER_SCHEMA = pa.schema([("doc_id", pa.int64()), ("places", pa.binary()), ("hot", pa.int64())])
+_PLACES = {"places": np.uint32}
 
 
 def by_bucket(n: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> dict[int, dict[str, bytes]]:
@@ -213,13 +213,52 @@ def _ask(shape: Shape, n: int):
     return run
 
 
-def by_document(docs: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, list[bytes]]]:
-    """Packed slices of columns by document."""
-    order = np.argsort(docs, kind="stable")
-    docs = docs[order]
-    begin = run_starts(docs)
-    end = np.append(begin[1:], len(docs))
-    return docs[begin], {c: packed(v[order], begin, end) for c, v in columns.items()}
+def group_schema(columns: dict) -> tuple[str, pa.Schema]:
+    """Rows of packed findings for a group of documents; ``hot`` stands in rows of its own."""
+    names = ["docs", *columns]
+    ddl = "bucket int, " + ", ".join(f"{c} binary" for c in names) + ", hot long"
+    fields = [("bucket", pa.int32())] + [(c, pa.binary()) for c in names] + [("hot", pa.int64())]
+    return ddl, pa.schema(fields)
+
+
+def group_rows(n: int, docs: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Findings packed by group of documents."""
+    if not len(docs):
+        return
+    rows = by_bucket(n, bucket_of(mix(docs.view(np.uint64)), n), {"docs": docs, **columns})
+    _, schema = group_schema(columns)
+    arrays = [pa.array(list(rows), type=pa.int32())]
+    arrays += [pa.array([r[c] for r in rows.values()], type=pa.binary()) for c in ("docs", *columns)]
+    yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(rows), pa.int64())], schema=schema)
+
+
+def by_document(findings: DataFrame, types: dict) -> DataFrame:
+    """One row (doc_id, packed columns) per document from rows of ``group_rows``."""
+    schema = pa.schema([("doc_id", pa.int64())] + [(c, pa.binary()) for c in types])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[str, list[bytes]] = {c: [] for c in ("docs", *types)}
+        for batch in batches:
+            for c in got:
+                got[c] += batch.column(c).to_pylist()
+        docs = unpacked(got["docs"], np.int64)
+        if not len(docs):
+            return
+        order = np.argsort(docs, kind="stable")
+        docs = docs[order]
+        begin = run_starts(docs)
+        end = np.append(begin[1:], len(docs))
+        blobs = [packed(unpacked(got[c], t)[order], begin, end) for c, t in types.items()]
+        for at in range(0, len(begin), 4096):
+            some = slice(at, at + 4096)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs[begin[some]])] + [pa.array(x[some], type=pa.binary()) for x in blobs], schema=schema
+            )
+
+    n = partitions(findings.sparkSession)
+    ddl = "doc_id long, " + ", ".join(f"{c} binary" for c in types)
+    grouped = findings.where(F.col("bucket").isNotNull()).repartitionById(n, F.col("bucket"))
+    return grouped.mapInArrow(run, ddl)
 
 
 def _answer(n: int):
@@ -238,35 +277,30 @@ def _answer(n: int):
         twice = np.repeat(size > 1, size) & (p != 0xFFFFFFFF)
         docs = np.concatenate([d[twice], unpacked(got["known_docs"], np.int64)])
         places = np.concatenate([p[twice], unpacked(got["known_places"], np.uint32)])
-        ids, blobs = by_document(docs, {"places": places})
-        if len(ids):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(blobs["places"], type=pa.binary()), pa.nulls(len(ids), pa.int64())],
-                schema=_ANSWER_SCHEMA,
-            )
+        yield from group_rows(n, docs, {"places": places})
         if len(h):
             count = np.add.reduceat(np.where(p == 0xFFFFFFFF, -1 - d, 1), begin)
-            least = max(HOT_LEAST, int(count.sum()) * n // HOT_ANCHORS)
+            least = max(HOT_LEAST, int(count.sum()) // HOT_PER_BUCKET)
             hot = h[begin][count >= least]
             if len(hot):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(hot), pa.int64()), pa.nulls(len(hot), pa.binary()), pa.array(hot.view(np.int64))],
-                    schema=_ANSWER_SCHEMA,
-                )
+                none = [pa.nulls(len(hot), f.type) for f in list(group_schema(_PLACES)[1])[:-1]]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(hot.view(np.int64))], schema=group_schema(_PLACES)[1])
 
     return run
 
 
-def repeated_anchors(docs: DataFrame, shape: Shape) -> DataFrame:
-    """Rows (doc_id, places): anchors of a document that occur elsewhere in ``docs``.
+def repeated_anchors(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
+    """Anchors of documents that occur elsewhere in ``docs``, and hot anchors.
 
-    Takes columns doc_id (long, not null) and text. Rows with a null doc_id and a ``hot``
-    hash name the few anchors (at most HOT_ANCHORS) with more occurrences than a fair
-    share of a bucket.
+    Takes columns doc_id (long, not null) and text. Gives rows (doc_id, places), one per
+    document, and rows ``hot``: hashes of the few anchors (at most HOT_PER_BUCKET for
+    each shuffle partition) that would fill a good part of a bucket.
     """
     n = partitions(docs.sparkSession)
     asked = docs.select("doc_id", "text").mapInArrow(_ask(shape, n), _ASK)
-    return asked.repartitionById(n, F.col("bucket")).mapInArrow(_answer(n), _ANSWER)
+    answers = asked.repartitionById(n, F.col("bucket")).mapInArrow(_answer(n), group_schema(_PLACES)[0])
+    answers = stored(answers)
+    return by_document(answers, _PLACES), answers.where(F.col("hot").isNotNull()).select("hot")
 
 
 def dealt_by_id(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -279,14 +313,24 @@ def dealt_by_id(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dealt, docs.where(F.col("doc_id").cast("long").isNull())
 
 
-def joined_lists(dealt: DataFrame, rows: DataFrame, columns: list[str], name: str, how: str) -> DataFrame:
-    """The dealt rows with the list of their ``rows`` (by doc_id), built on the narrow side."""
-    lists = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct(*columns)).alias(name))
-    return dealt.join(lists.hint("shuffle_hash"), "__id", how)
+def with_findings(dealt: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The dealt rows with their document's findings in ``__found``, built on the narrow side."""
+    found = F.struct(*[c for c in rows.columns if c != "doc_id"]).alias("__found")
+    return dealt.join(rows.select(F.col("doc_id").alias("__id"), found).hint("shuffle_hash"), "__id", how)
 
 
-def found_lists(batch: pa.RecordBatch) -> list[list[dict] | None]:
-    """The lists of a batch; rows without an id were not joined and have none."""
+def found_of(batch: pa.RecordBatch) -> list[dict | None]:
+    """The findings of a batch; rows without an id were not joined and have none."""
     if "__found" not in batch.schema.names:
         return [None] * batch.num_rows
     return batch.column("__found").to_pylist()
+
+
+def marked_windows(block: Block, windows: Anchored, found: list[dict | None]) -> np.ndarray:
+    """Which windows have an anchor that repeats."""
+    marked = np.zeros(len(block.values), dtype=bool)
+    for k, place in enumerate(block.places):
+        at = np.frombuffer(found[place]["places"], np.uint32).astype(np.int64)
+        at = at[at < block.offsets[k + 1] - block.offsets[k]]
+        marked[at + block.offsets[k]] = True
+    return marked[windows.anchors]

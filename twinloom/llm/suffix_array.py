@@ -36,8 +36,6 @@ from twinloom.llm.common import (
     partitions,
     run_starts,
     sliding_sum,
-    stored,
-    unpacked,
 )
 from twinloom.llm.repeats import (
     Shape,
@@ -47,13 +45,16 @@ from twinloom.llm.repeats import (
     bucket_rows,
     by_document,
     dealt_by_id,
-    found_lists,
-    joined_lists,
+    found_of,
+    group_rows,
+    group_schema,
+    marked_windows,
     repeated_anchors,
+    with_findings,
 )
 
 SEPARATOR = 0xFF  # never part of UTF-8
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 FINE = 64  # parts of a partition that a shard is made of
 FLUSH_BYTES = 24 << 20  # distinct stretches that a task holds before it sends them
 
@@ -207,8 +208,7 @@ _SENT = ["text", "lengths", "docs", "starts"]
 _CUT = ["cut_docs", "cut_starts", "cut_lengths"]
 _STRETCH = "bucket int, " + ", ".join(f"{c} binary" for c in _SENT + _CUT)
 _STRETCH_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in _SENT + _CUT])
-_SPAN = "doc_id long, starts binary, lengths binary"
-_SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary()), ("lengths", pa.binary())])
+_SPANS = {"starts": np.uint32, "lengths": np.uint32}
 
 
 def _stretches(shape: Shape, n: int, hot: np.ndarray):
@@ -258,17 +258,12 @@ def _stretches(shape: Shape, n: int, hot: np.ndarray):
         held = 0
         for batch in batches:
             ids = batch.column("__id").to_numpy(zero_copy_only=False)
-            flagged = [unpacked([x["places"] for x in y], np.uint32) for y in batch.column("__places").to_pylist()]
+            found = found_of(batch)
             for block in blocks(shape, as_bytes(batch.column("text"))):
                 a = anchored(shape, block)
                 if not len(a.starts):
                     continue
-                marked = np.zeros(len(block.values), dtype=bool)
-                for k, place in enumerate(block.places):
-                    at = flagged[place].astype(np.int64)
-                    at = at[at < block.offsets[k + 1] - block.offsets[k]]
-                    marked[at + block.offsets[k]] = True
-                mine = marked[a.anchors]
+                mine = marked_windows(block, a, found)
                 starts, texts, anchors = a.starts[mine], a.texts[mine], a.anchors[mine]
                 if not len(starts):
                     continue
@@ -335,7 +330,7 @@ def repeated_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray,
     return doc[later], start[later]
 
 
-def _shards(window: int):
+def _shards(window: int, n: int):
     def sort(first: dict[bytes, tuple[int, int]], out: list) -> None:
         if not first:
             return
@@ -395,11 +390,7 @@ def _shards(window: int):
             out.append(tuple(np.array(cut, dtype=np.int64).T))
         if out:
             doc, start, length = (np.concatenate(x) for x in zip(*out))
-            who, found = by_document(doc, {"starts": start.astype(np.uint32), "lengths": length.astype(np.uint32)})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(who)] + [pa.array(found[c], type=pa.binary()) for c in ("starts", "lengths")],
-                schema=_SPAN_SCHEMA,
-            )
+            yield from group_rows(n, doc, {"starts": start.astype(np.uint32), "lengths": length.astype(np.uint32)})
 
     return run
 
@@ -430,15 +421,15 @@ def _finish(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: dict[str, list] = {f.name: [] for f in _RESULTS.fields}
-            for text, parts in zip(as_bytes(batch.column("text")), found_lists(batch)):
+            for text, parts in zip(as_bytes(batch.column("text")), found_of(batch)):
                 made["n_bytes"].append(len(text))
                 if not parts:
                     for c, v in (("n_removed", 0), ("n_spans", 0), ("kept", text), ("spans", [])):
                         made[c].append(v)
                     continue
                 begin, end = merged(
-                    unpacked([x["starts"] for x in parts], np.uint32).astype(np.int64),
-                    unpacked([x["lengths"] for x in parts], np.uint32).astype(np.int64),
+                    np.frombuffer(parts["starts"], np.uint32).astype(np.int64),
+                    np.frombuffer(parts["lengths"], np.uint32).astype(np.int64),
                 )
                 made["n_removed"].append(int((end - begin).sum()))
                 made["n_spans"].append(len(begin))
@@ -476,17 +467,16 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 16) ->
     base = docs.select(*[f.name for f in keep])
     dealt, lone = dealt_by_id(base)
     ids = F.col("doc_id").cast("long").alias("doc_id")
-    answers = stored(repeated_anchors(base.where(F.col("doc_id").isNotNull()).select(ids, "text"), shape))
-    # At most HOT_ANCHORS numbers, by the rule that makes an anchor hot.
-    hot = np.array([r[0] for r in answers.where(F.col("doc_id").isNull()).select("hot").collect()], dtype=np.int64)
-    answers = answers.where(F.col("doc_id").isNotNull())
-    sent = joined_lists(dealt, answers, ["places"], "__places", "inner").mapInArrow(
-        _stretches(shape, n, np.sort(hot.view(np.uint64))), _STRETCH
+    answers, hot_rows = repeated_anchors(base.where(F.col("doc_id").isNotNull()).select(ids, "text"), shape)
+    # At most HOT_PER_BUCKET numbers for each partition, by the rule that makes an anchor hot.
+    hot = np.sort(np.array([r[0] for r in hot_rows.collect()], dtype=np.int64).view(np.uint64))
+    sent = with_findings(dealt, answers, "inner").mapInArrow(_stretches(shape, n, hot), _STRETCH)
+    found = sent.repartitionById(n, (F.col("bucket") / FINE).cast("int")).mapInArrow(
+        _shards(window, n), group_schema(_SPANS)[0]
     )
-    found = sent.repartitionById(n, (F.col("bucket") / FINE).cast("int")).mapInArrow(_shards(window), _SPAN)
     schema = T.StructType(keep + _RESULTS.fields)
     finish = _finish(to_arrow_schema(schema))
-    whole = joined_lists(dealt, found, ["starts", "lengths"], "__found", "left").mapInArrow(finish, schema)
+    whole = with_findings(dealt, by_document(found, _SPANS), "left").mapInArrow(finish, schema)
     return whole.unionByName(lone.mapInArrow(finish, schema))
 
 
