@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from twinloom.llm.bpe_index import op6_bpe_index
+from twinloom.llm.projection_passes import op10_projection_passes
 from twinloom.llm.relative_lz import op4_relative_lz
+from twinloom.llm.string_kernel import op9_string_kernel
 from twinloom.llm.suffix_array import op5_suffix_array
+from twinloom.llm.topk_tiles import OP3_SQL, op3_topk_tiles
+from twinloom.llm.toxicity_grammar import op7_toxicity_grammar
+from twinloom.llm.vector_packing import op2_vector_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_vector_packing,
+        op3_topk_tiles,
         op4_relative_lz,
         op5_suffix_array,
+        op6_bpe_index,
+        op7_toxicity_grammar,
+        op9_string_kernel,
+        op10_projection_passes,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_topk_tiles": OP3_SQL}
