@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from twinloom.llm.bpe_index import op6_bpe_index
+from twinloom.llm.license_diagonals import op8_license_diagonals
+from twinloom.llm.minhash_forest import op1_minhash_forest
 from twinloom.llm.projection_passes import op10_projection_passes
 from twinloom.llm.relative_lz import op4_relative_lz
 from twinloom.llm.string_kernel import op9_string_kernel
@@ -18,12 +20,14 @@ from twinloom.llm.vector_packing import op2_vector_packing
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_minhash_forest,
         op2_vector_packing,
         op3_topk_tiles,
         op4_relative_lz,
         op5_suffix_array,
         op6_bpe_index,
         op7_toxicity_grammar,
+        op8_license_diagonals,
         op9_string_kernel,
         op10_projection_passes,
     )
