@@ -36,6 +36,7 @@ from twinloom.llm.common import (
     partitions,
     run_starts,
     sliding_sum,
+    unpacked,
 )
 from twinloom.llm.repeats import (
     Shape,
@@ -204,7 +205,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, room: np.ndarray) -> np
 
 # ---- shards ------------------------------------------------------------------------
 
-_SENT = ["text", "lengths", "docs", "starts"]
+_SENT = ["text", "lengths", "docs", "starts", "parts"]
 _CUT = ["cut_docs", "cut_starts", "cut_lengths"]
 _STRETCH = "bucket int, " + ", ".join(f"{c} binary" for c in _SENT + _CUT)
 _STRETCH_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in _SENT + _CUT])
@@ -219,8 +220,9 @@ def _stretches(shape: Shape, n: int, hot: np.ndarray):
         lengths = np.array([len(k) for k in keys], dtype=np.uint32)
         docs = np.array([first[k][0] for k in keys], dtype=np.int64)
         starts = np.array([first[k][1] for k in keys], dtype=np.uint32)
-        bucket = bucket_of(np.array([first[k][2] for k in keys], dtype=np.uint64), n * FINE)
-        order = np.argsort(bucket, kind="stable")
+        fine = bucket_of(np.array([first[k][2] for k in keys], dtype=np.uint64), n * FINE)
+        order = np.argsort(fine, kind="stable")
+        bucket, parts = fine // FINE, (fine % FINE).astype(np.uint8)
         begin = run_starts(bucket[order])
         rows = {}
         for b, e in zip(begin.tolist(), np.append(begin[1:], len(order)).tolist()):
@@ -230,13 +232,14 @@ def _stretches(shape: Shape, n: int, hot: np.ndarray):
                 "lengths": lengths[mine].tobytes(),
                 "docs": docs[mine].tobytes(),
                 "starts": starts[mine].tobytes(),
+                "parts": parts[mine].tobytes(),
             }
         batch = [pa.array(list(rows), type=pa.int32())]
         batch += [pa.array([r.get(c, b"") for r in rows.values()], type=pa.binary()) for c in _SENT + _CUT]
         yield pa.RecordBatch.from_arrays(batch, schema=_STRETCH_SCHEMA)
         if cut:
             gone = np.array(cut, dtype=np.int64)
-            known = bucket_of(mix(gone[:, 0].view(np.uint64)), n) * FINE
+            known = bucket_of(mix(np.ascontiguousarray(gone[:, 0]).view(np.uint64)), n)
             yield bucket_rows(
                 n,
                 [
@@ -346,13 +349,12 @@ def _shards(window: int, n: int):
             out.append((doc[begin], start[begin], start[end] - start[begin] + window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, list[tuple]] = {}
+        got: dict[str, list[bytes]] = {c: [] for c in _SENT}
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in _STRETCH_SCHEMA.names]
-            for b, text, lengths, docs, starts, cd, cs, cl in zip(*columns):
-                if text:
-                    rows.setdefault(b, []).append((text, lengths, docs, starts))
+            for c in _SENT:
+                got[c] += batch.column(c).to_pylist()
+            for cd, cs, cl in zip(*(batch.column(c).to_pylist() for c in _CUT)):
                 if cd:
                     out.append(
                         (
@@ -361,30 +363,31 @@ def _shards(window: int, n: int):
                             np.frombuffer(cl, np.uint32).astype(np.int64),
                         )
                     )
+        text = b"".join(got.pop("text"))
+        lengths = unpacked(got["lengths"], np.uint32).astype(np.int64)
+        docs, starts = unpacked(got["docs"], np.int64), unpacked(got["starts"], np.uint32)
+        parts = unpacked(got["parts"], np.uint8)
+        order = np.argsort(parts, kind="stable")
+        begins = (np.cumsum(lengths) - lengths)[order].tolist()
         first: dict[bytes, tuple[int, int]] = {}
-        held, cut = 0, []
-        for b in sorted(rows):
-            for text, lengths, docs, starts in rows.pop(b):
-                at = 0
-                for k, d, s in zip(
-                    np.frombuffer(lengths, np.uint32).tolist(),
-                    np.frombuffer(docs, np.int64).tolist(),
-                    np.frombuffer(starts, np.uint32).tolist(),
-                ):
-                    key = text[at : at + k]
-                    at += k
-                    known = first.get(key)
-                    if known is None:
-                        first[key] = (d, s)
-                        held += k + 1
-                    elif (d, s) < known:
-                        first[key] = (d, s)
-                        cut.append((known[0], known[1], k))
-                    elif (d, s) > known:
-                        cut.append((d, s, k))
-            if held >= SHARD_BYTES:
+        held, cut, last = 0, [], -1
+        for part, at, k, d, s in zip(
+            parts[order].tolist(), begins, lengths[order].tolist(), docs[order].tolist(), starts[order].tolist()
+        ):
+            if part != last and held >= SHARD_BYTES:  # windows of one anchor stay in one shard
                 sort(first, out)
                 first, held = {}, 0
+            last = part
+            key = text[at : at + k]
+            known = first.get(key)
+            if known is None:
+                first[key] = (d, s)
+                held += k + 1
+            elif (d, s) < known:
+                first[key] = (d, s)
+                cut.append((known[0], known[1], k))
+            elif (d, s) > known:
+                cut.append((d, s, k))
         sort(first, out)
         if cut:
             out.append(tuple(np.array(cut, dtype=np.int64).T))
@@ -471,7 +474,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 16) ->
     # At most HOT_PER_BUCKET numbers for each partition, by the rule that makes an anchor hot.
     hot = np.sort(np.array([r[0] for r in hot_rows.collect()], dtype=np.int64).view(np.uint64))
     sent = with_findings(dealt, answers, "inner").mapInArrow(_stretches(shape, n, hot), _STRETCH)
-    found = sent.repartitionById(n, (F.col("bucket") / FINE).cast("int")).mapInArrow(
+    found = sent.repartitionById(n, F.col("bucket")).mapInArrow(
         _shards(window, n), group_schema(_SPANS)[0]
     )
     schema = T.StructType(keep + _RESULTS.fields)
