@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import documents
+from twinloom.llm.common import documents, stored
 
 # Phrases and their labels (fixed values). Every place counts.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -31,13 +31,25 @@ SENTENCES = {
 WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what stands between words
 SLACK = 2  # words by which diagonals of one copy may differ
 COVER = 0.6  # share of a sentence's pairs that makes a match
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def text_words(text: F.Column) -> F.Column:
-    """Words of a text, lower-cased in A-Z; none for null."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), WORDS)
-    return F.filter(parts, lambda w: w != "")
+def text_parts(text: F.Column) -> F.Column:
+    """Words of a lower-cased text, with an empty part at an end where no word is.
+
+    Only A-Z matter: other letters keep being letters in lower case. The one sign that would
+    turn into an ASCII letter, the Kelvin sign, is replaced by another letter first.
+    """
+    return F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b"))), WORDS)
+
+
+def lead(parts: F.Column) -> F.Column:
+    """Number of empty parts before the first word."""
+    return (F.get(parts, F.lit(0)) == "").cast("int")
+
+
+def count_words(parts: F.Column) -> F.Column:
+    size = F.size(parts)
+    return size - lead(parts) - ((size > 1) & (F.get(parts, size - 1) == "")).cast("int")
 
 
 def pair_hashes(words: F.Column) -> F.Column:
@@ -78,25 +90,24 @@ def scan_licenses(
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    worded = base.select(
-        F.xxhash64("text").alias("text_hash"), F.length("text").alias("text_length"), text_words(F.col("text")).alias("words")
-    )
-    grams = worded.select("text_hash", "text_length", "words", pair_hashes(F.col("words")).alias("grams"))
+    text = ["text_hash", "text_length"]
+    named = base.select(F.xxhash64("text").alias("text_hash"), F.length("text").alias("text_length"), "text")
+    parts = named.select(*text, text_parts(F.col("text")).alias("parts"))
+    grams = parts.select(*text, "parts", pair_hashes(F.col("parts")).alias("grams"))
     templates = template_pairs(spark, phrases, sentences)
     wanted = [r[0] for r in templates.select("hash").distinct().collect()]  # a few hundred numbers
-    # The text's words go along only where a template's pair occurs, for the verification.
+    # An outer explode, as an inner one would have the pairs computed once more to test for none.
     hits = (
-        grams.select("text_hash", "text_length", "words", F.posexplode("grams").alias("place", "hash"))
+        grams.select(*text, "parts", F.posexplode_outer("grams").alias("part", "hash"))
         .where(F.col("hash").isin(wanted))
-        .join(F.broadcast(templates.withColumnRenamed("words", "template_words")), "hash")
-        .withColumn("diagonal", F.col("place") - F.col("at"))
+        .join(F.broadcast(templates), "hash")
+        .withColumn("diagonal", F.col("part") - F.col("at") - lead(F.col("parts")))
     )
-    text = ["text_hash", "text_length"]
     # What the text has where the template's pair stands: a hash alone proves nothing.
-    real = (F.get("words", F.col("place")) == F.get("template_words", F.col("at"))) & (
-        F.get("words", F.col("place") + 1) == F.get("template_words", F.col("at") + 1)
+    real = (F.get("parts", F.col("part")) == F.get("words", F.col("at"))) & (
+        F.get("parts", F.col("part") + 1) == F.get("words", F.col("at") + 1)
     )
-    votes = (
+    votes = stored(
         hits.where(real)
         .groupBy(*text, "template", "label", "exact", "pairs", "diagonal")
         .agg(F.countDistinct("at").alias("votes"))
@@ -121,11 +132,16 @@ def scan_licenses(
         .groupBy(*text)
         .agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     )
-    counted = base.select(
+    parts = base.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
         F.length("text").alias("text_length"),
-        F.size(text_words(F.col("text"))).cast("long").alias("n_words"),
+        text_parts(F.col("text")).alias("parts"),
+    )
+    counted = parts.select(
+        "doc_id",
+        *text,
+        count_words(F.col("parts")).cast("long").alias("n_words"),
     )
     none = F.array().cast("array<string>")
     return (
