@@ -53,9 +53,14 @@ def histogram_compare(
         F.count_if(F.col("side") == "synth").alias("n_synth"),
     )  # one row per column
     width = (F.col("high") - F.col("low")) / F.lit(float(bins))
+    # one row per bin that belongs to no side, so that empty bins appear too
+    nowhere = F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("v")
+    empty = span.select("table", "column", *nowhere, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("at"))
+    long = long.withColumn("at", F.lit(None).cast("int"))
     return (
-        long.join(F.broadcast(span), ["table", "column"])
-        .withColumn("bin", _bin(F.col("v"), F.col("low"), F.col("high"), bins))
+        long.unionByName(empty)
+        .join(F.broadcast(span), ["table", "column"])
+        .withColumn("bin", F.coalesce("at", _bin(F.col("v"), F.col("low"), F.col("high"), bins)))
         .groupBy("table", "column", "bin", "low", "high", "n_real", "n_synth")
         .agg(
             F.count_if(F.col("side") == "real").alias("real_n"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -23,18 +22,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only where none is set."""
+    """The cluster's shared checkpoint folder; one in the warehouse only where none is set."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not context.master.startswith("local"):
-            raise RuntimeError(
-                "set spark.checkpoint.dir to a folder that all executors can reach"
-            )
-        shared = tempfile.mkdtemp(prefix="twinloom-checkpoint-")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     context.setCheckpointDir(shared)
     return shared
 

@@ -28,10 +28,12 @@ from workload.synthesis import _CHAIN_KEYS, _CHAIN_RELS, _CHAIN_TABLES, _synthes
 
 # ---------------------------------------------------------------- distributions
 
-_REAL, _SYNTH = "l_returnflag = 'A'", "l_returnflag = 'R'"
+# Halves of all rows by a hash of the order, in words that both engines understand.
+_HALF = "substr(md5(cast(l_orderkey AS string)), 1, 1) {} '8'"
+_REAL, _SYNTH = _HALF.format("<"), _HALF.format(">=")
 
 
-def _by_flag(spark, sf):
+def _halves(spark, sf):
     li = load(spark, sf, "lineitem")["lineitem"]
     return li.where(_REAL), li.where(_SYNTH)
 
@@ -65,7 +67,7 @@ def _js_sql(value, real=_REAL, synth=_SYNTH, table="lineitem"):
 )
 def ks_statistic(spark, sf):
     columns = {"lineitem": ["l_extendedprice", "l_quantity", "l_shipdate"]}
-    return fidelity.ks_statistics({"lineitem": _by_flag(spark, sf)}, columns).select(
+    return fidelity.ks_statistics({"lineitem": _halves(spark, sf)}, columns).select(
         "column", F.round("value", 9).alias("ks")
     )
 
@@ -79,7 +81,7 @@ def ks_statistic(spark, sf):
 )
 def js_divergence(spark, sf):
     columns = {"lineitem": ["l_linestatus", "l_discount", "l_shipdate", "l_returnflag"]}
-    return fidelity.js_divergences({"lineitem": _by_flag(spark, sf)}, columns).select(
+    return fidelity.js_divergences({"lineitem": _halves(spark, sf)}, columns).select(
         "column", F.round("value", 9).alias("jsd")
     )
 
@@ -104,7 +106,7 @@ _MARGINAL_SQL = "\nUNION ALL\n".join(
 
 
 def _marginal(spark, sf):
-    real, synth = _by_flag(spark, sf)
+    real, synth = _halves(spark, sf)
     return fidelity.marginal_fidelity({"lineitem": real}, {"lineitem": synth}, KEYS)
 
 
@@ -113,23 +115,24 @@ def marginal_fidelity(spark, sf):
     return _marginal(spark, sf).select("column", "metric", F.round("value", 9).alias("value"))
 
 
-_BINS_SQL = f"""long AS (SELECT l_extendedprice AS v, l_returnflag AS f FROM lineitem
-      WHERE ({_REAL} OR {_SYNTH}) AND l_extendedprice IS NOT NULL)"""
+_BINS_SQL = f"""long AS (SELECT l_extendedprice AS v, CASE WHEN {_REAL} THEN 'A' ELSE 'R' END AS f
+      FROM lineitem WHERE l_extendedprice IS NOT NULL)"""
 
 
 @query(
     "distribution_compare",
     f"""WITH {_BINS_SQL}, span AS (SELECT min(v) AS low, max(v) AS high, (max(v) - min(v)) / 20e0 AS w,
             count(*) FILTER (f = 'A') AS nr, count(*) FILTER (f = 'R') AS ns FROM long)
-        SELECT least(greatest(floor((v - low) / w), 0), 19)::INT AS bin,
-               round(any_value(low) + least(greatest(floor((v - low) / w), 0), 19) * any_value(w), 6) AS lo,
+        SELECT b.bin, round(low + b.bin * w, 6) AS lo,
                count(*) FILTER (f = 'A') AS real_n, count(*) FILTER (f = 'R') AS synth_n,
                round(count(*) FILTER (f = 'A')::DOUBLE / (any_value(nr) * any_value(w)), 12) AS real_density,
                round(count(*) FILTER (f = 'R')::DOUBLE / (any_value(ns) * any_value(w)), 12) AS synth_density
-        FROM long, span GROUP BY least(greatest(floor((v - low) / w), 0), 19)""",
+        FROM span, (SELECT unnest(range(20))::INT AS bin) b
+        LEFT JOIN long ON least(greatest(floor((v - low) / w), 0), 19) = b.bin
+        GROUP BY b.bin, low, w""",
 )
 def distribution_compare(spark, sf):
-    pairs = {"lineitem": _by_flag(spark, sf)}
+    pairs = {"lineitem": _halves(spark, sf)}
     return density.histogram_compare(pairs, [("lineitem", "l_extendedprice")]).select(
         "bin",
         F.round("lo", 6).alias("lo"),
@@ -160,7 +163,7 @@ def distribution_compare(spark, sf):
         FROM grid g JOIN fine ON fine.f = g.f GROUP BY g.f, point""",
 )
 def density_curve(spark, sf):
-    pairs = {"lineitem": _by_flag(spark, sf)}
+    pairs = {"lineitem": _halves(spark, sf)}
     return density.density_curves(pairs, [("lineitem", "l_extendedprice")]).select(
         "side", "point", F.round("x", 4).alias("x"), F.round("density", 12).alias("density")
     )
@@ -366,12 +369,16 @@ def _order_halves(spark, sf):
           CASE WHEN o_orderstatus = 'F' THEN 1e0 ELSE 0e0 END AS "o_orderstatus_F",
           CASE WHEN o_orderstatus = 'O' THEN 1e0 ELSE 0e0 END AS "o_orderstatus_O",
           CASE WHEN o_orderstatus = 'P' THEN 1e0 ELSE 0e0 END AS "o_orderstatus_P",
-          o_totalprice FROM orders WHERE {sql_parity("o_orderkey")} = 0""",
+          o_totalprice, {sql_parity("o_orderkey")} = 0 AS is_real FROM orders""",
 )
 def tstr_features(spark, sf):
+    """Features of both sides, aligned by the real side's columns and categories."""
     real, synth = _order_halves(spark, sf)
     wanted = features.aligned_features(real, synth, KEYS, ("o_orderpriority",))
-    return real.select("o_orderkey", *[e.alias(n) for n, e in wanted.items()])
+    columns = ["o_orderkey", *[e.alias(n) for n, e in wanted.items()]]
+    return real.select(*columns, F.lit(True).alias("is_real")).unionByName(
+        synth.select(*columns, F.lit(False).alias("is_real"))
+    )
 
 
 @query(
@@ -519,7 +526,9 @@ def mia_forest(spark, sf):
 
 # ---------------------------------------------------------------- runs
 
-_RUNS = {"a": "l_returnflag = 'A'", "b": "l_returnflag = 'N'"}
+# Two runs: the quarters of the real half, each against the other half.
+_QUARTER = _REAL + " AND substr(md5(cast(l_orderkey AS string)), 2, 1) {} '8'"
+_RUNS = {"a": _QUARTER.format("<"), "b": _QUARTER.format(">=")}
 
 
 def _run_sql(where):
@@ -569,12 +578,25 @@ def compare_runs(spark, sf):
     )
 
 
+@query(
+    "runs_differ",
+    f"""WITH a AS ({_run_sql(_RUNS["a"])}), b AS ({_run_sql(_RUNS["b"])}),
+             l(metric, lim) AS (VALUES ('avg_ks', 0.05e0), ('tstr_acc_pct', 1e0), ('tstr_auc', 0.01e0))
+        SELECT coalesce(bool_or(abs(b.v - a.v) > lim), false) AS differs
+        FROM l JOIN a ON a.metric = l.metric JOIN b ON b.metric = l.metric""",
+)
+def runs_differ(spark, sf):
+    """Whether two runs differ in any metric by more than its tolerance."""
+    li = load(spark, sf, "lineitem")["lineitem"]
+    return compare.runs_differ(compare.compare_runs(_run(li, _RUNS["a"]), _run(li, _RUNS["b"])))
+
+
 _EXPECTED = {"avg_ks": 0.274, "tstr_acc_pct": 50.0, "tstr_auc": 0.509, "cardinality_error": 0.0}
 
 
 @query(
     "match_expected",
-    f"""WITH a AS ({_run_sql(_RUNS["a"])}),
+    f"""WITH a AS ({_run_sql(_REAL)}),
              e(metric, expected) AS (VALUES {", ".join(f"('{m}', {v}::DOUBLE)" for m, v in _EXPECTED.items())})
         SELECT e.metric, round(a.v, 6) AS value, expected, coalesce(abs(a.v - expected) < 0.02e0, false) AS matches
         FROM e LEFT JOIN a ON a.metric = e.metric""",
@@ -582,7 +604,7 @@ _EXPECTED = {"avg_ks": 0.274, "tstr_acc_pct": 50.0, "tstr_auc": 0.509, "cardinal
 def match_expected(spark, sf):
     """Measured metrics against recorded ones; a metric that was not measured does not match."""
     li = load(spark, sf, "lineitem")["lineitem"]
-    return compare.match_expected(_run(li, _RUNS["a"]), _EXPECTED).select(
+    return compare.match_expected(_run(li, _REAL), _EXPECTED).select(
         "metric", F.round("value", 6).alias("value"), "expected", "matches"
     )
 

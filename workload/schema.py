@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinloom.operators import graph, inclusion, ledger, profile
+from twinloom.operators import graph, inclusion, profile
 from twinloom.operators.integrity import link_report
 from twinloom.runtime import small_frame
 from workload.base import (
@@ -460,50 +460,3 @@ def pick_compare_columns(spark, sf):
     return chosen.join(means, ["table", "column"]).select(
         "table", "column", F.round("mean", 2).alias("mean_value")
     )
-
-
-# ---------------------------------------------------------------- step ledger
-
-# Batch, epochs, noise multiplier and step limit of a training plan.
-_BATCH, _EPOCHS, _NOISE, _MAX_STEPS = 64, 6, 0.8, 10_000
-_PLANS_SQL = _union(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in TABLES)
-
-
-@query(
-    "budget_ledger",
-    f"""WITH RECURSIVE {_CANDIDATES}, plans AS (
-          SELECT p."table", least(1e0, {_BATCH}::DOUBLE / p.n) AS q, a.epsilon AS target,
-                 least({_MAX_STEPS}, {_EPOCHS} * greatest(1, p.n // {_BATCH})) AS max_steps,
-                 greatest(3, floor(a.epsilon)::BIGINT) AS min_steps
-          FROM ({_PLANS_SQL}) p JOIN allocation a ON a."table" = p."table"),
-        steps AS (
-          SELECT *, unnest(generate_series(1, max_steps)) AS step FROM plans),
-        spends AS (SELECT *, least(q * step::DOUBLE / ({_NOISE}::DOUBLE * 2e0), 100e0) AS eps FROM steps)
-        SELECT "table", round(any_value(target), 6) AS target,
-               min(CASE WHEN step >= min_steps AND eps > target THEN step END) AS stop_step,
-               round(coalesce(min(CASE WHEN step >= min_steps AND eps > target THEN eps END),
-                              max(eps)), 6) AS spent
-        FROM spends GROUP BY "table" """,
-)
-def budget_ledger(spark, sf):
-    """Step at which each table's noisy training would use up its share."""
-    shares = graph.allocation(spark, table_graph(spark, sf), EPSILON).select("table", "epsilon")
-    n = F.col("n")
-    plans = (
-        profile.row_counts(load(spark, sf))
-        .join(F.broadcast(shares), "table")
-        .select(
-            "table",
-            F.least(F.lit(1.0), F.lit(float(_BATCH)) / n).alias("sample_rate"),
-            F.lit(_NOISE).alias("noise"),
-            F.col("epsilon").alias("target"),
-            F.greatest(F.lit(3).cast("bigint"), F.floor("epsilon")).alias("min_steps"),
-            F.least(
-                F.lit(_MAX_STEPS).cast("bigint"),
-                F.greatest(F.lit(1).cast("bigint"), F.floor(n / _BATCH)) * _EPOCHS,
-            ).alias("max_steps"),
-        )
-    )
-    return ledger.step_summary(ledger.step_ledger(plans)).select(
-        "table", F.round("target", 6).alias("target"), "stop_step", F.round("spent", 6).alias("spent")
-    )
