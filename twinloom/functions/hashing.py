@@ -18,12 +18,6 @@ _DIGITS = 13
 _SPAN = float(2**52)
 
 
-def table_seed(base_seed: int, table: str) -> int:
-    """Per-table stream number: base + sum of (position x code point)."""
-    weighted = sum(pos * ord(ch) for pos, ch in enumerate(table, start=1))
-    return (base_seed + weighted) % (2**31 - 1)
-
-
 @dataclass(frozen=True)
 class Draws:
     """A stream of keyed random draws.
@@ -41,20 +35,27 @@ class Draws:
     seed: int = 42
     secret: str | None = None
     fast: bool = False
+    table: str | None = None
 
     @staticmethod
     def private(seed: int = 42) -> "Draws":
         return Draws(seed, secrets.token_hex(32))
 
     def for_table(self, table: str) -> "Draws":
-        return replace(self, seed=table_seed(self.seed, table))
+        """The table's own stream: its name is part of every key, so no two tables share draws."""
+        return replace(self, table=table)
 
     def for_sampling(self) -> "Draws":
-        return Draws(self.seed, fast=True)
+        return Draws(self.seed, fast=True, table=self.table)
+
+    @property
+    def stream(self) -> str:
+        """What every key begins with; the length keeps names apart from what follows."""
+        return str(self.seed) if self.table is None else f"{self.seed}|{len(self.table)}:{self.table}"
 
     def digest(self, *key: Column) -> Column:
         parts = [F.coalesce(k.cast("string"), F.lit("")) for k in key]
-        text = F.concat_ws("|", F.lit(str(self.seed)), *parts)
+        text = F.concat_ws("|", F.lit(self.stream), *parts)
         if self.secret is None:
             return F.md5(text)
         return F.sha2(F.concat(F.lit(self.secret), text), 256)
@@ -62,17 +63,23 @@ class Draws:
     def uniform(self, *key: Column, draw: int = 0) -> Column:
         """Uniform in (0, 1). ``draw`` 0 and 1 are independent draws of one key."""
         if self.fast:
-            bits = F.xxhash64(F.lit(self.seed), F.lit(draw), *key)
+            bits = F.xxhash64(F.lit(self.stream), F.lit(draw), *key)
             top = F.shiftrightunsigned(bits, 12).cast("double")
             return (top + F.lit(0.5)) / F.lit(_SPAN)
         hexes = F.substring(self.digest(*key), 1 + draw * _DIGITS, _DIGITS)
         whole = F.conv(hexes, 16, 10).cast("bigint").cast("double")
         return (whole + F.lit(0.5)) / F.lit(_SPAN)
 
-    def laplace(self, scale: Column | float, *key: Column) -> Column:
-        u = self.uniform(*key) - F.lit(0.5)
+    def geometric(self, scale: Column | float, *key: Column) -> Column:
+        """Two-sided geometric noise: whole numbers with Laplace-like tails of ``scale``.
+
+        Unlike Laplace noise from doubles it has no gaps that tell counts apart.
+        """
         width = scale if isinstance(scale, Column) else F.lit(float(scale))
-        return -width * F.signum(u) * F.log(F.lit(1.0) - F.lit(2.0) * F.abs(u))
+        up, down = (
+            F.floor(-width * F.log(self.uniform(*key, draw=d))).cast("bigint") for d in (0, 1)
+        )
+        return up - down
 
     def gaussian(self, scale: Column | float, *key: Column) -> Column:
         width = scale if isinstance(scale, Column) else F.lit(float(scale))

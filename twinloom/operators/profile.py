@@ -268,28 +268,33 @@ def column_types(
     tables: dict[str, DataFrame],
     max_categories: int = MAX_CATEGORIES,
     sketches: list[Sketch] | None = None,
-    max_text_categories: int | None = None,
+    count_texts: bool = True,
 ) -> list[ColumnType]:
     """Text and boolean columns, and numbers with few values, are discrete.
 
-    Categories are listed up to ``max_categories``, of texts up to
-    ``max_text_categories`` (by default the same).
+    The limit is for numbers: those with more than ``max_categories`` values are
+    continuous. ``n_categories`` is given for every discrete column (for longer texts
+    unless ``count_texts`` is off), ``categories`` up to ``max_categories``; longer lists
+    are data, see ``category_domain``.
 
     A column with fewer than two values counts as continuous. Nested columns
     have no type here.
     """
     sketches = sketches if sketches is not None else sketch_columns(tables)
-    text_limit = max_text_categories or max_categories
     rows = (
-        small_domains(
-            tables, lambda a: text_limit if is_text(a.dtype) else max_categories, sketches
-        )
+        small_domains(tables, max_categories, sketches)
         .select("table", "column", "value")
         .collect()
     )  # a bounded number of rows per column
     values: dict[tuple[str, str], list[str]] = {}
     for r in rows:
         values.setdefault((r.table, r.column), []).append(r.value)
+    long_texts = [
+        s.attr
+        for s in sketches
+        if is_text(s.attr.dtype) and s.present and (s.attr.table, s.attr.column) not in values
+    ]
+    counted = distinct_counts(tables, long_texts) if count_texts else {}
     types = []
     for s in sketches:
         a = s.attr
@@ -312,12 +317,42 @@ def column_types(
                 a.position,
                 "discrete" if discrete else "continuous",
                 tuple(found) if discrete else (),
-                len(found) if discrete and found else None,
+                (len(found) or counted.get((a.table, a.column))) if discrete else None,
             )
         )
     return types
 
 
+def distinct_counts(tables: dict[str, DataFrame], attrs: list[Attr]) -> dict[tuple[str, str], int]:
+    """Exact number of values of text columns, by 128-bit hashes instead of whole texts."""
+    parts = [
+        tables[a.table]
+        .where(F.col(f"`{a.column}`").isNotNull())
+        .select(F.lit(i).alias("attr"), F.md5(F.col(f"`{a.column}`").cast("string")).alias("h"))
+        .distinct()
+        for i, a in enumerate(attrs)
+    ]
+    if not parts:
+        return {}
+    rows = union_all(parts).groupBy("attr").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {(attrs[r.attr].table, attrs[r.attr].column): r.n for r in rows}
+
+
+def text_domains(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, value, n) of all text columns, however many values they have."""
+    parts = [
+        df.where(F.col(f"`{f.name}`").isNotNull())
+        .groupBy(F.col(f"`{f.name}`").alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit(t).alias("table"), F.lit(f.name).alias("column"), "value", "n")
+        for t, df in tables.items()
+        for f in df.schema.fields
+        if is_text(f.dataType)
+    ]
+    spark = _session(tables)
+    return union_all(parts) if parts else small_frame(spark, [], "table string, column string, value string, n bigint")
+
+
 def category_domain(df: DataFrame, column: str) -> DataFrame:
     """Distinct non-null values of a column, ascending; as long as the domain is."""
     value = F.col(f"`{column}`")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinloom.functions.hashing import table_seed
+from twinloom.functions.hashing import Draws
 from twinloom.functions.naming import KeyNames
 from twinloom.sources.tables import read_parquet_tables
 
@@ -79,13 +79,13 @@ def sql_uniform(text: str, draw: int = 0) -> str:
     )
 
 
-def sql_key(seed: int, *parts: str) -> str:
-    """Text under a draw: seed and key parts joined by bars."""
+def sql_key(seed: int | str, *parts: str) -> str:
+    """Text under a draw: stream and key parts joined by bars."""
     return " || '|' || ".join([f"'{seed}'", *[f"coalesce(({p})::VARCHAR, '')" for p in parts]])
 
 
-def seed_of(table: str, base: int = 42) -> int:
-    return table_seed(base, table)
+def stream_of(table: str, seed: int = 42) -> str:
+    return Draws(seed).for_table(table).stream
 
 
 def sql_gaussian(text: str) -> str:
@@ -94,9 +94,9 @@ def sql_gaussian(text: str) -> str:
     )
 
 
-def sql_laplace(scale: str, text: str) -> str:
-    u = f"({sql_uniform(text)} - 0.5e0)"
-    return f"(-({scale}) * sign({u}) * ln(1e0 - 2e0 * abs({u})))"
+def sql_geometric(scale: str, text: str) -> str:
+    up, down = (f"floor(-({scale}) * ln({sql_uniform(text, d)}))::BIGINT" for d in (0, 1))
+    return f"({up} - {down})"
 
 
 def as_number(column: str, kind: str) -> str:

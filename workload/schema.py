@@ -363,6 +363,7 @@ def column_stats(spark, sf):
     return out
 
 
+_TEXTS = ", ".join(f"('{t}', '{c}')" for t in TABLES for c, k in FIELDS[t] if k == "s")
 _SCALARS = [(t, c, k) for t in TABLES for c, k in FIELDS[t] if k in "ids"]
 
 
@@ -375,15 +376,17 @@ _SCALARS = [(t, c, k) for t in TABLES for c, k in FIELDS[t] if k in "ids"]
         f" FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
         for t, c, _ in _SCALARS
     )
-    + ")) WHERE w <= 20",
+    + f")) WHERE w <= 20 OR (\"table\", \"column\") IN ({_TEXTS})",
 )
 def category_domain(spark, sf):
-    """Values and counts of every column with at most 20 of them (dates left out)."""
-    from twinloom.functions.values import is_temporal
+    """Values and counts of every text column, and of numbers with at most 20 values."""
+    from twinloom.functions.values import is_temporal, is_text
 
-    return profile.small_domains(
-        load(spark, sf), 20, keep=lambda a: not is_temporal(a.dtype)
-    ).select("table", "column", "value", "n")
+    tables = load(spark, sf)
+    numbers = profile.small_domains(
+        tables, 20, keep=lambda a: not is_temporal(a.dtype) and not is_text(a.dtype)
+    )
+    return numbers.select("table", "column", "value", "n").unionByName(profile.text_domains(tables))
 
 
 @query(
@@ -405,7 +408,7 @@ def _type_sql(t, c, k):
     return (
         f"SELECT '{t}' AS \"table\", '{c}' AS \"column\","
         f" CASE WHEN {discrete} THEN 'discrete' ELSE 'continuous' END AS kind,"
-        f" CASE WHEN {discrete} AND {n} <= 20 THEN {n} END AS n_categories FROM {t}"
+        f" CASE WHEN {discrete} THEN {n} END AS n_categories FROM {t}"
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from twinloom.functions.hashing import Draws
 from twinloom.operators import ledger, marginals, sampling
+from twinloom.operators.graph import parents_of
 from twinloom.operators.integrity import link_report
 from twinloom.operators.marginals import MISSING, Domain
 from twinloom.operators.profile import category_domain, row_counts
@@ -20,9 +21,10 @@ from twinloom.sources.tables import (
     save_tables,
     write_csv_bundle,
 )
-from workload.base import PRIMARY_KEYS, load, query, seed_of, sql_key, sql_laplace, sql_uniform
+from workload.base import PRIMARY_KEYS, load, query, sql_geometric, sql_key, sql_uniform, stream_of
 
-_SEED = seed_of("lineitem")
+_DRAWS = Draws(42).for_table("lineitem")
+_SEED = _DRAWS.stream
 _EPS = 1.0
 
 
@@ -39,7 +41,7 @@ _STATES = f"(SELECT DISTINCT l_linestatus AS v FROM lineitem UNION ALL SELECT '{
 
 def _noisy_sql(scale):
     """Noisy chain l_returnflag -> l_linestatus with two histograms at ``scale``."""
-    noise = sql_laplace(scale, sql_key(_SEED, "link", "given", "cell"))
+    noise = sql_geometric(scale, sql_key(_SEED, "link", "given", "cell"))
     return f"""counts AS (
       SELECT 0 AS link, '' AS given, f.v AS cell,
              (SELECT count(*) FROM lineitem WHERE coalesce(l_returnflag, '{MISSING}') = f.v) AS n
@@ -61,7 +63,7 @@ def _noisy_sql(scale):
 def noisy_histogram(spark, sf):
     li = load(spark, sf, "lineitem")["lineitem"]
     ((column, domain),) = _flag_chain(li, "l_returnflag")
-    return marginals.noisy_histogram(li, column, domain, _EPS, Draws(_SEED)).select(
+    return marginals.noisy_histogram(li, column, domain, _EPS, _DRAWS).select(
         "cell", "n", F.round("noisy", 6).alias("noisy"), F.round("share", 9).alias("share")
     )
 
@@ -73,7 +75,7 @@ def noisy_histogram(spark, sf):
 def noisy_pairs(spark, sf):
     li = load(spark, sf, "lineitem")["lineitem"]
     chain = _flag_chain(li, "l_returnflag", "l_linestatus")
-    return marginals.noisy_chain(li, chain, _EPS, Draws(_SEED)).select(
+    return marginals.noisy_chain(li, chain, _EPS, _DRAWS).select(
         "link", "given", "cell", "n", F.round("noisy", 6).alias("noisy")
     )
 
@@ -81,7 +83,7 @@ def noisy_pairs(spark, sf):
 @query(
     "stable_histogram",
     f"""WITH counts AS (SELECT coalesce(p_name, '{MISSING}') AS cell, count(*) AS n FROM part GROUP BY 1),
-        noisy AS (SELECT cell, n, n + {sql_laplace("1e0", sql_key(seed_of("part"), "0", "''", "cell"))}
+        noisy AS (SELECT cell, n, (n + {sql_geometric("1e0", sql_key(stream_of("part"), "0", "''", "cell"))})::DOUBLE
                   AS noisy FROM counts),
         kept AS (SELECT * FROM noisy WHERE noisy >= 1e0 + ln(1e0 / 1e-6))
         SELECT cell, n, round(noisy, 6) AS noisy,
@@ -91,7 +93,7 @@ def stable_histogram(spark, sf):
     """Categories without a declared list: rare ones are withheld."""
     part = load(spark, sf, "part")["part"]
     return marginals.noisy_histogram(
-        part, "p_name", Domain("category"), 1.0, Draws(seed_of("part"))
+        part, "p_name", Domain("category"), 1.0, Draws(42).for_table("part")
     ).select("cell", "n", F.round("noisy", 6).alias("noisy"), F.round("share", 9).alias("share"))
 
 
@@ -123,10 +125,10 @@ def _conditionals_sql():
 def sample_rows(spark, sf):
     li = load(spark, sf, "lineitem")["lineitem"]
     chain = _flag_chain(li, "l_returnflag", "l_linestatus")
-    noisy = pinned(marginals.noisy_chain(li, chain, _EPS, Draws(_SEED)))
+    noisy = pinned(marginals.noisy_chain(li, chain, _EPS, _DRAWS))
     cells = pinned(marginals.conditionals(noisy))
     return sampling.sample_chain(
-        spark, cells, cells.count(), len(chain), li.count(), Draws(_SEED), "id"
+        spark, cells, len(chain), li.count(), _DRAWS, "id"
     ).select("id", F.col("_c0").alias("returnflag"), F.col("_c1").alias("linestatus"))
 
 
@@ -185,22 +187,32 @@ def propagate_fk(spark, sf):
 
 
 _CHAIN_TABLES = ("customer", "orders", "lineitem")
-_CHAIN_SCHEMA = {"customer": [], "orders": ["customer"], "lineitem": ["orders"]}
 _CHAIN_RELS = [
     ("customer", "c_custkey", "orders", "o_custkey"),
     ("orders", "o_orderkey", "lineitem", "l_orderkey"),
 ]
-_CHAIN_KEYS = {**PRIMARY_KEYS, "lineitem": "l_linenumber"}
+# The star schema; lineitem has no key of one column.
+_STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+_STAR_RELS = [
+    ("region", "r_regionkey", "nation", "n_regionkey"),
+    ("nation", "n_nationkey", "customer", "c_nationkey"),
+    ("nation", "n_nationkey", "supplier", "s_nationkey"),
+    *_CHAIN_RELS,
+    ("part", "p_partkey", "lineitem", "l_partkey"),
+    ("supplier", "s_suppkey", "lineitem", "l_suppkey"),
+    ("customer", "c_custkey", "events", "user_id"),
+]
+_CHAIN_KEYS = {t: k for t, k in PRIMARY_KEYS.items() if t != "lineitem"}
 
 
 def _synthesis(spark, sf):
-    tables = load(spark, sf, *_CHAIN_TABLES)
+    tables = load(spark, sf, *_STAR_TABLES)
     counts = {r["table"]: r.n for r in row_counts(tables).collect()}
     return tables, synthesize(
         tables,
-        _CHAIN_SCHEMA,
-        _CHAIN_KEYS,
-        _CHAIN_RELS,
+        parents_of(_STAR_RELS, list(_STAR_TABLES)),
+        {t: _CHAIN_KEYS[t] for t in _STAR_TABLES if t in _CHAIN_KEYS},
+        _STAR_RELS,
         num_rows=0,
         epsilon=6.0,
         table_row_counts=counts,
@@ -210,19 +222,22 @@ def _synthesis(spark, sf):
 
 @query(
     "synthesize_tables",
-    """SELECT 'orders' AS child, (SELECT count(*) FROM orders) AS n_rows, 0::BIGINT AS orphans, true AS same_schema
-       UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), 0::BIGINT, true""",
+    " UNION ALL ".join(
+        f"SELECT '{p}' AS parent, '{c}' AS child, '{fk}' AS fk, (SELECT count(*) FROM {c}) AS n_rows,"
+        " 0::BIGINT AS orphans, true AS same_schema"
+        for p, _, c, fk in _STAR_RELS
+    ),
 )
 def synthesize_tables(spark, sf):
-    """Rows, orphans and column types of synthetic customer, orders and lineitem."""
+    """Rows, orphans and column types of the whole star schema, by link."""
     tables, made = _synthesis(spark, sf)
     same = all(
         [(f.name, f.dataType) for f in tables[t].schema.fields]
         == [(f.name, f.dataType) for f in made.tables[t].schema.fields]
         for t in tables
     )
-    return link_report(made.tables, _CHAIN_RELS).select(
-        "child", F.col("children").alias("n_rows"), "orphans", F.lit(same).alias("same_schema")
+    return link_report(made.tables, _STAR_RELS).select(
+        "parent", "child", F.col("child_fk").alias("fk"), F.col("children").alias("n_rows"), "orphans", F.lit(same).alias("same_schema")
     )
 
 
@@ -231,16 +246,37 @@ def synthetic_lineitem(spark, sf):
     return _synthesis(spark, sf)[1].tables["lineitem"]
 
 
+@query(
+    "synthetic_text",
+    f"""WITH counts AS (SELECT p_name AS value, count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 1),
+        noisy AS (SELECT value, n + {sql_geometric("2e0", sql_key(stream_of("part"), "0", "''", "value"))} AS noisy
+                  FROM counts)
+        SELECT value, noisy >= 1e0 + 2e0 * ln(1e0 / 1e-6) AS released FROM noisy""",
+)
+def synthetic_text(spark, sf):
+    """Which real texts of a column without a declared list come out of a synthesis."""
+    real = load(spark, sf, "part")["part"].select("p_partkey", "p_name")
+    made = synthesize(
+        {"part": real}, {"part": []}, {"part": "p_partkey"}, [], 20 * real.count(), 0.5, private=False
+    ).tables["part"]
+    out = made.select(F.col("p_name").alias("value")).distinct().withColumn("released", F.lit(True))
+    values = real.where(F.col("p_name").isNotNull()).select(F.col("p_name").alias("value")).distinct()
+    return values.join(out, "value", "left").select("value", F.coalesce("released", F.lit(False)).alias("released"))
+
+
 @query(
     "mechanism_ledger",
-    """SELECT 'customer' AS "table", 6e0 AS target, 6e0 AS spent, true AS within FROM (SELECT count(*) FROM customer)
-       UNION ALL SELECT 'orders', 6e0, 6e0, true FROM (SELECT count(*) FROM orders)
-       UNION ALL SELECT 'lineitem', 6e0, 6e0, true FROM (SELECT count(*) FROM lineitem)""",
+    f"""WITH columns AS (SELECT table_name AS t, column_name AS c FROM duckdb_columns()
+          WHERE (table_name, column_name) NOT IN ({", ".join(f"('{c}', '{fk}')" for _, _, c, fk in _STAR_RELS)})
+            AND (table_name, column_name) NOT IN ({", ".join(f"('{t}', '{_CHAIN_KEYS[t]}')" for t in _STAR_TABLES if t in _CHAIN_KEYS)})
+            AND table_name IN ({", ".join(f"'{t}'" for t in _STAR_TABLES)}))
+        SELECT t AS "table", count(*) AS mechanisms, round(sum(6e0 / n), 9) AS spent, true AS within
+        FROM (SELECT t, count(*) OVER (PARTITION BY t) AS n FROM columns) GROUP BY t""",
 )
 def mechanism_ledger(spark, sf):
-    """What the synthesis of three tables spent, against each table's budget."""
+    """Mechanisms and spending of the synthesis of the star schema, against each table's budget."""
     return ledger.mechanism_summary(_synthesis(spark, sf)[1].ledger).select(
-        "table", "target", F.round("spent", 9).alias("spent"), "within"
+        "table", "mechanisms", F.round("spent", 9).alias("spent"), "within"
     )
 
 
