@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from twinloom.llm.common import documents
+from twinloom.llm.common import documents, kept_fields
 
 KNOWN_PIECES = 400_000  # encoded pieces that a worker remembers
 GROUP_CHARS = 8 << 20  # text whose new pieces are indexed together
@@ -264,9 +264,9 @@ def encode_and_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """
     with open(tokenizer_file, "rb") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
-    keep = [f for f in docs.schema.fields if f.name not in _RESULTS.names]
+    keep = kept_fields(docs, _RESULTS)
     schema = T.StructType(keep + _RESULTS.fields)
-    return docs.select(*[f.name for f in keep]).mapInArrow(
+    return docs.select(*[f"`{f.name}`" for f in keep]).mapInArrow(
         _run(content, to_arrow_schema(schema), tokenizer_file), schema
     )
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEGMENT_BYTES = 2 << 20  # text that is turned into numbers at once
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64
@@ -40,12 +41,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name that the frame does not have."""
-    have = {c.lower() for c in df.columns}
-    while wanted.lower() in have:
-        wanted = f"_{wanted}"
-    return wanted
+def kept_fields(df: DataFrame, results: T.StructType) -> list[T.StructField]:
+    """Columns that stay beside results; results replace columns of their names (in any case)."""
+    taken = {n.lower() for n in results.names}
+    return [f for f in df.schema.fields if f.name.lower() not in taken]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from twinloom.llm.common import (
     as_bytes,
     documents,
+    kept_fields,
     mix,
     partitions,
     run_starts,
@@ -92,7 +93,7 @@ def _ask_windows(shape: Shape, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            ids = batch.column("__id").to_numpy(zero_copy_only=False)
+            ids = batch.column("__llm_id").to_numpy(zero_copy_only=False)
             found = found_of(batch)
             for block in blocks(shape, as_bytes(batch.column("text"))):
                 a = anchored(shape, block)
@@ -232,8 +233,8 @@ def remove_repeated_text(docs: DataFrame, window: int = 20, gram: int = 8) -> Da
     """
     shape = Shape("words", window, gram)
     n = partitions(docs.sparkSession)
-    keep = [f for f in docs.schema.fields if f.name not in _RESULTS.names]
-    base = docs.select(*[f.name for f in keep])
+    keep = kept_fields(docs, _RESULTS)
+    base = docs.select(*[f"`{f.name}`" for f in keep])
     dealt, lone = dealt_by_id(base)
     ids = F.col("doc_id").cast("long").alias("doc_id")
     answers, _ = repeated_anchors(base.where(F.col("doc_id").isNotNull()).select(ids, "text"), shape)

@@ -304,26 +304,26 @@ def repeated_anchors(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFram
 
 
 def dealt_by_id(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with an id, dealt by it under the key ``__id``, and rows without one.
+    """Rows with an id, dealt by it under the key ``__llm_id``, and rows without one.
 
-    Two joins on ``__id`` that read all columns share this one exchange of the texts.
+    Two joins on ``__llm_id`` that read all columns share this one exchange of the texts.
     """
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    dealt = keyed.where(F.col("__id").isNotNull()).repartition(partitions(docs.sparkSession), "__id")
+    keyed = docs.withColumn("__llm_id", F.col("doc_id").cast("long"))
+    dealt = keyed.where(F.col("__llm_id").isNotNull()).repartition(partitions(docs.sparkSession), "__llm_id")
     return dealt, docs.where(F.col("doc_id").cast("long").isNull())
 
 
 def with_findings(dealt: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """The dealt rows with their document's findings in ``__found``, built on the narrow side."""
-    found = F.struct(*[c for c in rows.columns if c != "doc_id"]).alias("__found")
-    return dealt.join(rows.select(F.col("doc_id").alias("__id"), found).hint("shuffle_hash"), "__id", how)
+    """The dealt rows with their document's findings in ``__llm_found``, built on the narrow side."""
+    found = F.struct(*[c for c in rows.columns if c != "doc_id"]).alias("__llm_found")
+    return dealt.join(rows.select(F.col("doc_id").alias("__llm_id"), found).hint("shuffle_hash"), "__llm_id", how)
 
 
 def found_of(batch: pa.RecordBatch) -> list[dict | None]:
     """The findings of a batch; rows without an id were not joined and have none."""
-    if "__found" not in batch.schema.names:
+    if "__llm_found" not in batch.schema.names:
         return [None] * batch.num_rows
-    return batch.column("__found").to_pylist()
+    return batch.column("__llm_found").to_pylist()
 
 
 def marked_windows(block: Block, windows: Anchored, found: list[dict | None]) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from twinloom.llm.common import SEGMENT_BYTES, as_bytes, documents, training_rows
+from twinloom.llm.common import SEGMENT_BYTES, as_bytes, documents, kept_fields, training_rows
 
 ORDERS = (1, 2, 3, 4)  # bytes per n-gram
 BITS = 1 << 14
@@ -190,9 +190,9 @@ def identify(docs: DataFrame, model: Model, orders: tuple[int, ...] = ORDERS) ->
     independent; repeated rows give repeated results and an empty table an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # at most MOST_LANDMARKS rows of bits
-    keep = [f for f in docs.schema.fields if f.name not in _RESULTS.names]
+    keep = kept_fields(docs, _RESULTS)
     schema = T.StructType(keep + _RESULTS.fields)
-    return docs.select(*[f.name for f in keep]).mapInArrow(_predict(shared, orders, to_arrow_schema(schema)), schema)
+    return docs.select(*[f"`{f.name}`" for f in keep]).mapInArrow(_predict(shared, orders, to_arrow_schema(schema)), schema)
 
 
 def op9_string_kernel(spark, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from twinloom.llm.common import (
     as_bytes,
     documents,
+    kept_fields,
     mix,
     partitions,
     run_starts,
@@ -260,7 +261,7 @@ def _stretches(shape: Shape, n: int, hot: np.ndarray):
         cut: list[tuple[int, int, int]] = []
         held = 0
         for batch in batches:
-            ids = batch.column("__id").to_numpy(zero_copy_only=False)
+            ids = batch.column("__llm_id").to_numpy(zero_copy_only=False)
             found = found_of(batch)
             for block in blocks(shape, as_bytes(batch.column("text"))):
                 a = anchored(shape, block)
@@ -466,8 +467,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 16) ->
     shape = Shape("bytes", window, gram)
     spark = docs.sparkSession
     n = partitions(spark)
-    keep = [f for f in docs.schema.fields if f.name not in _RESULTS.names]
-    base = docs.select(*[f.name for f in keep])
+    keep = kept_fields(docs, _RESULTS)
+    base = docs.select(*[f"`{f.name}`" for f in keep])
     dealt, lone = dealt_by_id(base)
     ids = F.col("doc_id").cast("long").alias("doc_id")
     answers, hot_rows = repeated_anchors(base.where(F.col("doc_id").isNotNull()).select(ids, "text"), shape)

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from twinloom.llm.bpe_index import text_groups
-from twinloom.llm.common import as_bytes, documents, mix, odd_numbers, stored, training_rows, word_hashes
+from twinloom.llm.common import as_bytes, documents, kept_fields, mix, odd_numbers, stored, training_rows, word_hashes
 
 MOST_TOXIC = 4000  # labelled rows of each kind that a model learns from
 MOST_CLEAN = 12000
@@ -434,9 +434,9 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     rows give repeated results and an empty table an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # at most MOST_ENTRIES short strings
-    keep = [f for f in docs.schema.fields if f.name not in _RESULTS.names]
+    keep = kept_fields(docs, _RESULTS)
     schema = T.StructType(keep + _RESULTS.fields)
-    return docs.select(*[f.name for f in keep]).mapInArrow(_score(shared, to_arrow_schema(schema)), schema)
+    return docs.select(*[f"`{f.name}`" for f in keep]).mapInArrow(_score(shared, to_arrow_schema(schema)), schema)
 
 
 def op7_toxicity_grammar(spark, sf_dir: str) -> DataFrame:
