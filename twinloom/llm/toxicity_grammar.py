@@ -35,6 +35,7 @@ MOST_CLEAN = 12000
 LEAST_TEXTS = 3  # toxic texts that a lexicon entry needs
 BEGINNINGS = (4, 5, 6, 7)  # letters
 MOST_ENTRIES = 5000
+CHANCE = 2.5  # times the overall toxic share that texts of one kind may have without any insult
 THRESHOLD = 0.3
 KNOWN_CHUNKS = 500_000
 GROUP_CHARS = 8 << 20
@@ -292,7 +293,7 @@ def choose_entries(rows: list[tuple[str, bool, int, int]], share: float, tried:
         if toxic < 4 * clean * share / (1 - share) or toxic / (toxic + clean) < 0.6:
             continue
         at_least = max((t for k, t in tried.items() if k >= min(toxic + clean, max(tried))), default=1)
-        if _log_tail(toxic, clean, share) + math.log(max(1, at_least)) < math.log(0.5):
+        if _log_tail(toxic, clean, min(0.5, CHANCE * share)) + math.log(max(1, at_least)) < math.log(0.5):
             good[entry, whole] = (toxic, clean)
     chosen: list[tuple[str, bool]] = []
     for entry, whole in sorted(good, key=lambda e: (len(e[0]), e)):

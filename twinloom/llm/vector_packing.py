@@ -11,6 +11,9 @@ bounded size, each packed by one task; a group leaves about one sequence part em
 
 from __future__ import annotations
 
+import os
+import re
+import string
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from twinloom.llm.bpe_index import text_groups, worker_cache
 from twinloom.llm.common import documents, stored
 
-KNOWN_CHUNKS = 400_000  # tokenized chunks that a worker remembers
+KNOWN_CHUNKS = 1_200_000  # tokenized chunks that a worker remembers, about 250 MB
 GROUP_CHARS = 8 << 20
 GROUP_PIECES = 8192  # pieces packed by one task
 
@@ -44,19 +47,21 @@ class Tokenizer:
     """Ids of texts; chunks between blanks are tokenized once and remembered.
 
     Only for tokenizers that drop white space, so that a chunk's ids do not depend on what
-    stands around it.
+    stands around it, and that take words, single digits and runs of other signs apart, so that
+    plain chunks can be cut further. New parts go to the library many at once, blanks between
+    them, and get the ids whose offsets lie in them.
     """
 
-    def __init__(self, path: str):
-        import os
+    PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -66,18 +71,44 @@ class Tokenizer:
             text = text.lower()
         return text.split(" ")
 
+    def parts(self, chunk: str) -> list[str]:
+        """Parts with ids of their own; apostrophes and special tokens tie a chunk together."""
+        if chunk.isalpha() and chunk.isascii() or "'" in chunk or "<|" in chunk or not chunk.isprintable():
+            return [chunk]
+        if chunk.isascii():
+            return self.PARTS.findall(chunk.lower())
+        if max(chunk) < "\u0180" and "\u0130" not in chunk:  # letters whose lower case is beyond doubt
+            chunk = chunk.lower()
+        word = chunk.rstrip(string.punctuation)
+        if word != chunk and word and word[-1].isalpha():
+            return [word, chunk[len(word) :]]
+        return [chunk]
+
+    def learn(self, chunks: list[str]) -> None:
+        cut = [self.parts(c) for c in chunks]
+        new = list({p for x in cut for p in x} - self.known.keys())
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            found = self.library.encode(" ".join(some), add_special_tokens=False)
+            lengths = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
+            begins = np.cumsum(lengths + 1) - lengths - 1
+            places = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            ends = (4 * np.searchsorted(places, begins + lengths)).tolist()
+            for part, b, e in zip(some, [0, *ends[:-1]], ends):
+                self.known[part] = ids[b:e]
+        for chunk, parts in zip(chunks, cut):
+            if len(parts) != 1 or parts[0] != chunk:
+                self.known[chunk] = b"".join([self.known[p] for p in parts])
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids."""
         parts = [self.chunks(t) for t in texts]
         new = set().union(*parts) - self.known.keys()
         if len(self.known) + len(new) > KNOWN_CHUNKS:
-            self.known.clear()
-            new = set().union(*parts)
-        words = list(new)
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            for word, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
+            self.known = {"": b""}
+            new = set().union(*parts) - self.known.keys()
+        self.learn(list(new))
         known = self.known
         return [b"".join([known[c] for c in p]) for p in parts]
 
