@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from twinloom.llm.common import documents, kept_fields
+from twinloom.llm.common import documents, kept_fields, tidy
 
 KNOWN_PIECES = 400_000  # encoded pieces that a worker remembers
 GROUP_CHARS = 8 << 20  # text whose new pieces are indexed together
@@ -226,6 +226,7 @@ _RESULTS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.S
 
 
 def _run(content, schema: pa.Schema, key: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(("bpe", key), lambda: Encoder(content.value))
         for batch in batches:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -56,6 +59,25 @@ def training_rows(key: str = "doc_id") -> F.Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 != 2
 
 
+def tidy(function):
+    """A task's function over batches that hands freed memory back when it ends.
+
+    Workers live on between tasks, and beside each other; what one has freed but kept would
+    count against the executor.
+    """
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 # ---- numbers -----------------------------------------------------------------------
 
 

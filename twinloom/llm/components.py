@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import stored
+from twinloom.llm.common import stored, tidy
 
 _EDGE = "a long, b long"
 _EDGE_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -46,6 +46,7 @@ class Forest:
         )
 
 
+@tidy
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's links as a star around the smallest member of each of its groups."""
     forest = Forest()

@@ -35,6 +35,7 @@ from twinloom.llm.common import (
     run_starts,
     stored,
     text_segments,
+    tidy,
     word_hashes,
 )
 from twinloom.llm.components import connected_components
@@ -88,6 +89,7 @@ _SKETCH_SCHEMA = pa.schema(
 )
 
 
+@tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     odd = odd_numbers(HASHES, 11)
     for batch in batches:
@@ -132,6 +134,7 @@ def prefix_keys(signatures: np.ndarray, trees: np.ndarray, depth: int) -> np.nda
     return key.view(np.int64)
 
 
+@tidy
 def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each class in all trees at the first depth."""
     schema = pa.schema([("tree", pa.int32()), ("key", pa.int64()), ("rep", pa.int64())])
@@ -150,6 +153,8 @@ def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _deeper(depth: int):
     schema = pa.schema([("tree", pa.int32()), ("key", pa.int64()), ("rep", pa.int64())])
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -210,6 +215,8 @@ def _region_pairs(percent: int, apart: bool):
             others.append(cols[ok])
         return np.concatenate(hubs), np.concatenate(others)
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
         if not batches:
@@ -276,6 +283,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 # ---- confirmation ------------------------------------------------------------------
 
 
+@tidy
 def _ship_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A text's set, once for each ticket."""
     schema = pa.schema([("ticket", pa.int64()), ("hub", pa.bool_()), ("rep", pa.int64()), ("items", pa.binary())])
@@ -297,6 +305,8 @@ def _ship_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, list[tuple]] = {}
         for batch in batches:

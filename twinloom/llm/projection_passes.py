@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import partitions, run_starts, stored
+from twinloom.llm.common import partitions, run_starts, stored, tidy
 from twinloom.llm.components import Forest, connected_components
 
 PASSES = 24
@@ -48,6 +48,8 @@ def unit_rows(values: list) -> np.ndarray:
 def _keys(passes: int):
     schema = pa.schema([("pass", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("key", pa.binary()), ("rep", pa.int64()), ("values", pa.list_(pa.float64()))])
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -76,6 +78,7 @@ def _keys(passes: int):
 
 
 def _windows(threshold: float, window: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         tail: tuple | None = None
@@ -106,6 +109,8 @@ def _windows(threshold: float, window: int):
 def _count_tiles(threshold: float):
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64())])
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:

@@ -32,6 +32,7 @@ from twinloom.llm.common import (
     partitions,
     run_starts,
     sliding_sum,
+    tidy,
     unpacked,
     word_hashes,
 )
@@ -90,6 +91,8 @@ def _ask_windows(shape: Shape, n: int):
             _WINDOW_SCHEMA,
         )
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
@@ -122,6 +125,8 @@ def _ask_windows(shape: Shape, n: int):
 def _index(n: int):
     """One block of the reference: its windows' first places, and who else has them."""
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, list[bytes]] = {c: [] for c in _ASKED + _KNOWN}
         for batch in batches:
@@ -170,6 +175,7 @@ def _cut(text: bytes, n_words: int, factors: np.ndarray) -> tuple[int, bytes]:
 
 
 def _finish(text_at: str, window: int, schema: pa.Schema):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(text_at))

@@ -31,6 +31,7 @@ from twinloom.llm.common import (
     sliding_min,
     stored,
     text_segments,
+    tidy,
     unpacked,
     word_hashes,
 )
@@ -190,6 +191,8 @@ def _ask(shape: Shape, n: int):
             _ASK_SCHEMA,
         )
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, docs, places, held = [], [], [], 0
         for batch in batches:
@@ -236,6 +239,8 @@ def by_document(findings: DataFrame, types: dict) -> DataFrame:
     """One row (doc_id, packed columns) per document from rows of ``group_rows``."""
     schema = pa.schema([("doc_id", pa.int64())] + [(c, pa.binary()) for c in types])
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, list[bytes]] = {c: [] for c in ("docs", *types)}
         for batch in batches:
@@ -262,6 +267,7 @@ def by_document(findings: DataFrame, types: dict) -> DataFrame:
 
 
 def _answer(n: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, list[bytes]] = {c: [] for c in _ASK_SCHEMA.names[1:]}
         for batch in batches:

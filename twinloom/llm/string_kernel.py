@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from twinloom.llm.common import SEGMENT_BYTES, as_bytes, documents, kept_fields, training_rows
+from twinloom.llm.common import SEGMENT_BYTES, as_bytes, documents, kept_fields, tidy, training_rows
 
 ORDERS = (1, 2, 3, 4)  # bytes per n-gram
 BITS = 1 << 14
@@ -97,6 +97,8 @@ def solve(bits: np.ndarray, languages: list[str], ridge: float, per_language: in
 def _row_bits(bits: int, orders: tuple[int, ...]):
     schema = pa.schema([("language", pa.string()), ("bits", pa.binary())])
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = np.packbits(presence(as_bytes(batch.column("text")), bits, orders), axis=1)
@@ -156,6 +158,7 @@ def scores(model: Model, texts: list[bytes], orders: tuple[int, ...]) -> np.ndar
 
 
 def _predict(shared, orders: tuple[int, ...], schema: pa.Schema):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for batch in batches:

@@ -37,6 +37,7 @@ from twinloom.llm.common import (
     partitions,
     run_starts,
     sliding_sum,
+    tidy,
     unpacked,
 )
 from twinloom.llm.repeats import (
@@ -256,6 +257,8 @@ def _stretches(shape: Shape, n: int, hot: np.ndarray):
                 _STRETCH_SCHEMA,
             )
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, tuple[int, int, int]] = {}
         cut: list[tuple[int, int, int]] = []
@@ -349,6 +352,8 @@ def _shards(window: int, n: int):
             end = np.append(begin[1:], len(doc)) - 1
             out.append((doc[begin], start[begin], start[end] - start[begin] + window))
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, list[bytes]] = {c: [] for c in _SENT}
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -422,6 +427,7 @@ def merged(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _finish(schema: pa.Schema):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: dict[str, list] = {f.name: [] for f in _RESULTS.fields}

@@ -7,8 +7,8 @@ example "insult at a target" or "negated insult in reported speech". Patterns ca
 a text's score is the chance that at least one of its matched clauses is toxic, or the
 weight of texts without any match.
 
-Closed classes are word lists. Insults and all weights are learned: the lexicon is the
-shortest word beginnings that toxic training texts have far more often than chance allows,
+Closed classes and some insults are word lists. Further insults and all weights are learned: the
+learned part of the lexicon is the purest word beginnings that toxic training texts have far more often than chance allows,
 corrected for the number of beginnings tried. The fit reads a bounded sample of labelled
 rows (MOST_TOXIC and MOST_CLEAN) in whole texts, each group of near copies once.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from twinloom.llm.bpe_index import text_groups
-from twinloom.llm.common import as_bytes, documents, kept_fields, mix, odd_numbers, stored, training_rows, word_hashes
+from twinloom.llm.common import as_bytes, documents, kept_fields, mix, odd_numbers, stored, tidy, training_rows, word_hashes
 
 MOST_TOXIC = 4000  # labelled rows of each kind that a model learns from
 MOST_CLEAN = 12000
@@ -37,13 +37,17 @@ BEGINNINGS = (4, 5, 6, 7)  # letters
 MOST_ENTRIES = 5000
 CHANCE = 2.5  # times the overall toxic share that texts of one kind may have without any insult
 THRESHOLD = 0.3
-KNOWN_CHUNKS = 500_000
+KNOWN_CHUNKS = 300_000
 GROUP_CHARS = 8 << 20
 
 # Fixed word lists of the closed classes (English, German, French, Spanish).
 TARGET = "you your yours u he she they him her them du dich dir ihr euch sie tu te toi vous il elle ils elles usted ustedes ellos ellas"
 NEGATION = "not no never nor neither without nicht kein keine nie niemals ohne ne pas jamais sans nunca jamás sin ni"
 REPORTED = "said says say told called calls quote quoted wrote claimed sagte sagt nannte schrieb dit disait appelle écrit dijo dice llamó escribió"
+INSULTS = (
+    "idiot idiots moron morons loser losers stupid pathetic worthless clown trash scum disgusting dumb jerk imbecile"
+    " dummkopf trottel blödmann abschaum erbärmlich connard crétin abruti imbécile débile gilipollas imbécil estúpido inútil"
+)
 THREAT = "kill hurt destroy beat burn shoot stab punish töten schlagen verbrennen tuer frapper brûler matar golpear quemar"
 
 INSULT_BIT, THREAT_BIT, TARGET_BIT, NEGATION_BIT, REPORTED_BIT, END_BIT = 1, 2, 4, 8, 16, 32
@@ -146,7 +150,7 @@ class Grammar:
 
     def __init__(self, insults: list[tuple[str, bool]]):
         self.lexicon = Lexicon()
-        for words, bit in ((TARGET, TARGET_BIT), (NEGATION, NEGATION_BIT), (REPORTED, REPORTED_BIT), (THREAT, THREAT_BIT)):
+        for words, bit in ((INSULTS, INSULT_BIT), (TARGET, TARGET_BIT), (NEGATION, NEGATION_BIT), (REPORTED, REPORTED_BIT), (THREAT, THREAT_BIT)):
             for word in words.split():
                 self.lexicon.add(word, bit, True)
         for text, whole in insults:
@@ -203,6 +207,12 @@ class Grammar:
         return out
 
 
+def prior(pattern: int) -> float:
+    """Weight of a pattern before any example: insults count, negated or reported ones half."""
+    chance = 0.7 if pattern & 1 else 0.5 if pattern else 0.0
+    return chance * (0.5 if pattern & 8 else 1.0) * (0.5 if pattern & 16 else 1.0)
+
+
 class Model(NamedTuple):
     insults: list[tuple[str, bool]]
     weights: list[float]  # chance that a clause of this pattern is toxic
@@ -221,6 +231,7 @@ def text_score(patterns: list[int], weights: list[float], rest: float) -> float:
 # ---- learning ----------------------------------------------------------------------
 
 
+@tidy
 def _sketch_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two minhashes of each text over word triples: near copies mostly share one."""
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
@@ -251,6 +262,7 @@ def beginnings(text: str) -> set[tuple[str, bool]]:
     return found
 
 
+@tidy
 def _count_beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("entry", pa.string()), ("whole", pa.bool_()), ("toxic", pa.int64()), ("clean", pa.int64())])
     counts: dict[tuple[str, bool], list[int]] = {}
@@ -284,7 +296,7 @@ def _log_tail(toxic: int, clean: int, share: float) -> float:
 
 
 def choose_entries(rows: list[tuple[str, bool, int, int]], share: float, tried: dict[int, int]) -> list[tuple[str, bool]]:
-    """Entries that are too often toxic to be chance; of nested ones the shortest.
+    """Entries that are too often toxic to be chance; of nested ones the purest.
 
     ``tried``: how many entries occur in at least so many texts.
     """
@@ -295,11 +307,22 @@ def choose_entries(rows: list[tuple[str, bool, int, int]], share: float, tried:
         at_least = max((t for k, t in tried.items() if k >= min(toxic + clean, max(tried))), default=1)
         if _log_tail(toxic, clean, min(0.5, CHANCE * share)) + math.log(max(1, at_least)) < math.log(0.5):
             good[entry, whole] = (toxic, clean)
+    # The purest first. Skipped is what a chosen beginning has already, and a beginning whose
+    # toxic texts come from longer chosen ones.
     chosen: list[tuple[str, bool]] = []
-    for entry, whole in sorted(good, key=lambda e: (len(e[0]), e)):
-        if any((entry[:k], False) in good for k in BEGINNINGS if k < len(entry) or (whole and k == len(entry))):
+    begun: set[str] = set()
+    longer: dict[str, int] = {}
+    pure = lambda e: good[e][0] / (sum(good[e]) + 1)
+    for entry, whole in sorted(good, key=lambda e: (-pure(e), len(e[0]), e)):
+        toxic = good[entry, whole][0]
+        if any(entry[:k] in begun for k in BEGINNINGS) or (not whole and longer.get(entry, 0) >= 0.8 * toxic):
             continue
         chosen.append((entry, whole))
+        if not whole:
+            begun.add(entry)
+        for k in BEGINNINGS:
+            if k < len(entry) or (whole and k == len(entry)):
+                longer[entry[:k]] = longer.get(entry[:k], 0) + toxic
     chosen.sort(key=lambda e: (-good[e][0], e))
     return chosen[:MOST_ENTRIES]
 
@@ -336,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
         used_a.add(a)
         used_b.add(b)
     if not alone:
-        return Model([], [0.0] * PATTERNS, 0.0)
+        return Model([], [prior(p) for p in range(PATTERNS)], 0.0)
     texts = texts.mapInArrow(_only(docs.sparkSession.sparkContext.broadcast(set(alone))), texts.schema)
     n_toxic = sum(alone.values())
     share = (n_toxic + 1) / (len(alone) + 2)
@@ -368,7 +391,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     rows = [(r["entry"], r["whole"], r["toxic"], r["clean"]) for r in tally if r["entry"] is not None]
     insults = choose_entries(rows, share, tried)
     found = clause_patterns(texts, insults)
-    # Weight of a pattern: toxic share of the texts in which it occurs, drawn to the overall share.
+    # Weight of a pattern: toxic share of the texts in which it occurs, drawn to its prior.
     seen = np.zeros((PATTERNS, 2))
     rest = np.zeros(2)
     for toxic, patterns in found:
@@ -376,14 +399,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
             rest[toxic] += 1
         for p in set(patterns):
             seen[p, toxic] += 1
-    weights = [float((seen[p, 1] + 2 * share) / (seen[p].sum() + 2)) for p in range(PATTERNS)]
-    for p in range(PATTERNS):  # patterns never seen in training: by the bare insult, less if negated or reported
-        if not seen[p].sum() and p & 1:
-            weights[p] = weights[1] * (0.5 if p & 8 else 1.0) * (0.5 if p & 16 else 1.0)
+    weights = [float((seen[p, 1] + 2 * prior(p)) / (seen[p].sum() + 2)) for p in range(PATTERNS)]
     return Model(insults, weights, float((rest[1] + share) / (rest.sum() + 1)))
 
 
 def _only(chosen):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.filter(pa.array([d in chosen.value for d in batch.column("doc_id").to_pylist()], pa.bool_()))
@@ -407,6 +428,7 @@ _RESULTS = T.StructType(
 
 
 def _score(shared, schema: pa.Schema):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         grammar = Grammar(model.insults)

@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from twinloom.llm.bpe_index import text_groups, worker_cache
-from twinloom.llm.common import documents, stored
+from twinloom.llm.common import documents, stored, tidy
 
-KNOWN_CHUNKS = 1_200_000  # tokenized chunks that a worker remembers, about 250 MB
+KNOWN_CHUNKS = 500_000  # tokenized chunks that a worker remembers, about 100 MB
 GROUP_CHARS = 8 << 20
 GROUP_PIECES = 8192  # pieces packed by one task
 
@@ -128,6 +128,8 @@ _IDS = T.StructField("ids", T.ArrayType(T.LongType()))
 def _pieces(path: str, end_id: int, most: int, schema: pa.Schema):
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_cache(("tokenizer", path), lambda: Tokenizer(path))
         for batch in batches:
