@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 import twinloom as tl
 from twinloom.runtime import small_frame
-from twinloom.sources.tables import read_csv_bundle
+from twinloom.sources.tables import bundle_name, load_tables, read_csv_bundle, write_csv_bundle
 
 
 def test_load_tables(spark, tmp_path):
@@ -56,3 +56,16 @@ def test_whole_run_at_two_budgets(spark):
     assert [r.eps for r in out] == [2.0, 20.0]
     assert {(r.target_table, r.target_col) for r in out} == {("Sales", "is_priority")}
     assert out[1].avg_ks < 0.2 and out[1].tstr_auc > 0.6
+
+
+def test_the_reader_understands_the_writer(spark, tmp_path):
+    """Quoted quotes, commas and line breaks, and microseconds, survive a bundle."""
+    rows = [(1, 'a "quoted", text', "2024-01-02 03:04:05.123456"), (2, "two\nlines", "2024-01-02 03:04:05"), (3, "plain", None)]
+    df = spark.createDataFrame(rows, "id int, note string, t string").selectExpr("id", "note", "cast(t as timestamp) as at")
+    manifest = write_csv_bundle({"Notes": df}, str(tmp_path))
+    assert manifest.first().rows == 3
+    want = sorted(map(tuple, df.collect()))
+    path = f"{tmp_path}/{bundle_name('Notes')}"
+    assert sorted(map(tuple, read_csv_bundle(spark, str(tmp_path), "Notes", df.schema).collect())) == want
+    (table,) = load_tables(spark, [path]).values()
+    assert sorted(map(tuple, table.collect())) == want

@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinloom.functions.naming import table_name
-from twinloom.functions.values import union_all
+from twinloom.runtime import small_frame
+
+
+# One dialect for all CSV files: doubled quotes, times with microseconds.
+CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+}
 
 
 def load_tables(
@@ -15,6 +25,7 @@ def load_tables(
     paths: list[str],
     schemas: dict[str, T.StructType] | None = None,
     marker_anywhere: bool = False,
+    multi_line: bool = True,
 ) -> dict[str, DataFrame]:
     """One table per CSV or Parquet path, in the given order, named after the file.
 
@@ -28,8 +39,12 @@ def load_tables(
         if path.rstrip("/").lower().endswith(".parquet"):
             tables[name] = spark.read.parquet(path)
         else:
-            reader = spark.read.option("header", True)
-            reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+            reader = spark.read.options(**CSV).option("multiLine", multi_line)
+            if schema:
+                reader = reader.schema(schema)
+            else:  # times of any usual form are recognised
+                reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
+                reader = reader.option("inferSchema", True)
             tables[name] = reader.csv(path)
     return tables
 
@@ -55,11 +70,13 @@ def write_csv_bundle(
 ) -> DataFrame:
     """One CSV folder ``synthetic_<table>.csv`` per table, plus a manifest.
 
-    The row count of the manifest is observed while writing. Returns the
+    Rows are counted on the tables, without reading the files again (an Observation
+    would do it while writing, but a session that has used one can no longer apply
+    Spark's forests). Returns the
     manifest (table, rows, method, seed), which is also written as CSV.
     """
     spark = next(iter(tables.values())).sparkSession
-    parts = []
+    rows = []
     for name, df in tables.items():
         flat = df.select(
             *[
@@ -70,23 +87,12 @@ def write_csv_bundle(
             ]
         )
         target = f"{folder}/{bundle_name(name)}"
-        writer = flat.write.mode("overwrite").option("header", True)
-        writer.option("escape", '"').csv(target)
-        parts.append(
-            read_csv_bundle(spark, folder, name, flat.schema)
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .select(
-                F.lit(name).alias("table"),
-                "rows",
-                F.lit((methods or {}).get(name, "")).alias("method"),
-                F.lit(seed).cast("bigint").alias("seed"),
-            )
-        )
-    manifest = union_all(parts)
-    manifest.write.mode("overwrite").option("header", True).csv(f"{folder}/manifest.csv")
-    return spark.read.schema("table string, rows bigint, method string, seed bigint").option(
-        "header", True
-    ).csv(f"{folder}/manifest.csv")
+        flat.write.mode("overwrite").options(**CSV).csv(target)
+        rows.append((name, df.count(), (methods or {}).get(name, ""), seed))
+    schema = "table string, rows bigint, method string, seed bigint"
+    manifest = small_frame(spark, rows, schema)
+    manifest.write.mode("overwrite").options(**CSV).csv(f"{folder}/manifest.csv")
+    return spark.read.schema(schema).options(**CSV).csv(f"{folder}/manifest.csv")
 
 
 def read_csv_bundle(
@@ -95,9 +101,8 @@ def read_csv_bundle(
     """A table of a bundle with its own types; texts may span lines."""
     return (
         spark.read.schema(schema)
-        .option("header", True)
+        .options(**CSV)
         .option("multiLine", any(isinstance(f.dataType, T.StringType) for f in schema.fields))
-        .option("escape", '"')
         .csv(f"{folder}/{bundle_name(table)}")
     )
 
