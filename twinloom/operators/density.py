@@ -61,6 +61,7 @@ def histogram_compare(
         long.unionByName(empty)
         .join(F.broadcast(span), ["table", "column"])
         .withColumn("bin", F.coalesce("at", _bin(F.col("v"), F.col("low"), F.col("high"), bins)))
+        .where((F.col("high") > F.col("low")) | (F.col("bin") == 0))  # one value has one bin
         .groupBy("table", "column", "bin", "low", "high", "n_real", "n_synth")
         .agg(
             F.count_if(F.col("side") == "real").alias("real_n"),
