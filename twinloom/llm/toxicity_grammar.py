@@ -360,11 +360,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
         used_b.add(b)
     if not alone:
         return Model([], [prior(p) for p in range(PATTERNS)], 0.0)
-    texts = texts.mapInArrow(_only(docs.sparkSession.sparkContext.broadcast(set(alone))), texts.schema)
+    only = _only(docs.sparkSession.sparkContext.broadcast(set(alone)))
     n_toxic = sum(alone.values())
     share = (n_toxic + 1) / (len(alone) + 2)
     counts = (
-        texts.mapInArrow(_count_beginnings, "entry string, whole boolean, toxic long, clean long")
+        texts.mapInArrow(lambda batches: _count_beginnings(only(batches)), "entry string, whole boolean, toxic long, clean long")
         .groupBy("entry", "whole")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
@@ -390,7 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
         tried[size] = total
     rows = [(r["entry"], r["whole"], r["toxic"], r["clean"]) for r in tally if r["entry"] is not None]
     insults = choose_entries(rows, share, tried)
-    found = clause_patterns(texts, insults)
+    found = clause_patterns(texts, only, insults)
     # Weight of a pattern: toxic share of the texts in which it occurs, drawn to its prior.
     seen = np.zeros((PATTERNS, 2))
     rest = np.zeros(2)
@@ -414,9 +414,9 @@ def _only(chosen):
     return run
 
 
-def clause_patterns(texts: DataFrame, insults: list[tuple[str, bool]]) -> list[tuple[int, list[int]]]:
+def clause_patterns(texts: DataFrame, only, insults: list[tuple[str, bool]]) -> list[tuple[int, list[int]]]:
     """Toxic mark and matched patterns of each sampled text."""
-    rows = texts.mapInArrow(lambda batches: _pattern_rows(insults, batches), "toxic int, patterns array<int>")
+    rows = texts.mapInArrow(lambda batches: _pattern_rows(insults, only(batches)), "toxic int, patterns array<int>")
     return [(r[0], r[1]) for r in rows.collect()]
 
 

@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from twinloom.llm.bpe_index import text_groups, worker_cache
 from twinloom.llm.common import documents, stored, tidy
 
-KNOWN_CHUNKS = 500_000  # tokenized chunks that a worker remembers, about 100 MB
+KNOWN_CHUNKS = 500_000  # tokenized chunks that a task remembers, about 100 MB
 GROUP_CHARS = 8 << 20
 GROUP_PIECES = 8192  # pieces packed by one task
 
@@ -101,12 +101,15 @@ class Tokenizer:
             if len(parts) != 1 or parts[0] != chunk:
                 self.known[chunk] = b"".join([self.known[p] for p in parts])
 
+    def forget(self) -> None:
+        self.known = {"": b""}
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids."""
         parts = [self.chunks(t) for t in texts]
         new = set().union(*parts) - self.known.keys()
         if len(self.known) + len(new) > KNOWN_CHUNKS:
-            self.known = {"": b""}
+            self.forget()
             new = set().union(*parts) - self.known.keys()
         self.learn(list(new))
         known = self.known
@@ -149,6 +152,7 @@ def _pieces(path: str, end_id: int, most: int, schema: pa.Schema):
                         if "ids" in made:
                             made["ids"].append(np.frombuffer(part, dtype="<u4").astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in schema], schema=schema)
+        tokenizer.forget()  # an idle worker should hold little
 
     return run
 
