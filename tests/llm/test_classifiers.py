@@ -73,13 +73,13 @@ def test_composition_follows_its_machines():
 
 
 def test_clauses_of_a_text():
-    grammar = Grammar([("moron", True), ("lowei", False)])
+    grammar = Grammar([("grobian", True), ("lowei", False)])
     assert grammar.clauses("A plain text. You are kind!") == []
-    plain, targeted, negated, reported = (grammar.clauses(t) for t in ("What a Moron.", "you moron", "You are not a moron", "she said: they called him a moron"))
+    plain, targeted, negated, reported = (grammar.clauses(t) for t in ("What a Grobian.", "you grobian", "You are not a grobian", "she said: they called him a grobian"))
     assert plain == [1] and targeted == [1 | 4] and negated == [1 | 4 | 16] and reported == [1 | 4 | 8]
-    assert grammar.clauses("loweischaft, moron. x") == [1] and grammar.clauses("moron; loweien") == [1, 1]
-    assert grammar.clauses("morons moronic") == []
-    assert grammar.clauses("not now but later a moron") == [1]  # too far for the negation
+    assert grammar.clauses("loweischaft, grobian. x") == [1] and grammar.clauses("grobian; loweien") == [1, 1]
+    assert grammar.clauses("grobians grobianic") == []
+    assert grammar.clauses("not now but later a grobian") == [1]  # too far for the negation
 
 
 def test_toxic_held_out(spark):
