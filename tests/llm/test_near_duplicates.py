@@ -153,3 +153,29 @@ def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_duplicate_vectors(df).collect() == []
     assert projection_passes.WINDOW > 1
+
+
+@pytest.mark.parametrize("background, tile", [(0.95, 1024), (0.95, 64), (0.0, 64)])
+def test_dense_label_like_brute_force(spark, background, tile):
+    """Planted pairs in a label whose other vectors nearly link: whole, and in passes if spread."""
+    rng = np.random.default_rng(4)
+    middle = rng.standard_normal(64)
+    middle /= np.linalg.norm(middle)
+
+    def near(of, cosine):
+        noise = rng.standard_normal(of.shape)
+        noise -= (noise * of).sum(axis=1, keepdims=True) * of
+        noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+        return cosine * of + np.sqrt(1 - cosine * cosine) * noise
+
+    base = near(np.tile(middle, (1500, 1)), background**0.5)
+    rows = np.vstack([base, near(base, 0.982)])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    linked = rows @ rows.T >= 0.98
+    np.fill_diagonal(linked, False)
+    groups = Groups()
+    for i, j in zip(*np.nonzero(linked)):
+        groups.join(int(i), int(j))
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(rows.tolist())], "vec_id long, embedding array<double>, label long")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_duplicate_vectors(df, tile=tile).collect())
+    assert got == [(k, int(linked[k].sum()), groups.root(k)) for k in range(len(rows))]

@@ -1,14 +1,16 @@
 """Near-duplicate vectors by sorted projection passes.
 
-A pass gives every vector a key: the signs of its products with random directions, one after
-the other. Vectors are sorted by label and key, and each is compared with the next WINDOW of
-its label in that order. Pairs of cosine ``threshold`` or more are united across passes into
+A pass gives every vector a key: the signs of its products with random directions. Vectors
+of one label and key are a range of that pass, and all pairs of a range are compared, crowded
+ranges in tiles of bounded size. A label of up to PASSES tiles is one range, without a pass;
+so is one whose ranges would take as many comparisons, because its vectors are all alike.
+Then every pair of the label is seen; with passes, a pair at cosine 0.98 shares no range with
+a chance of 5e-7. Pairs of cosine ``threshold`` or more are united across ranges into
 components; a task hands on one link per member, not all pairs.
 
-A window cannot see all partners in a crowd, so links are counted afterwards: only members of
-one component can be linked, and within a component all pairs are compared in tiles of
-bounded size, which give counts and no pairs. Equal vectors are one representative with a
-multiplicity throughout.
+Links are counted afterwards: only members of one component can be linked, and within a
+component all pairs are compared in tiles, which give counts and no pairs. Equal vectors are
+one representative with a multiplicity throughout.
 """
 
 from __future__ import annotations
@@ -24,10 +26,9 @@ from twinloom.llm.common import partitions, run_starts, stored, tidy
 from twinloom.llm.components import Forest, connected_components
 
 PASSES = 24
-KEY_BITS = 64
-WINDOW = 32
+KEY_BITS = 12  # at most: each further bit parts a pair at the threshold with 6 %
+WINDOW = 32  # vectors of a range, as far as KEY_BITS go, in a label that is spread evenly
 TILE = 1024
-ROWS = 4096  # vectors of a sorted run that are compared at once
 
 
 def directions(size: int, passes: int) -> np.ndarray:
@@ -35,7 +36,7 @@ def directions(size: int, passes: int) -> np.ndarray:
     return np.random.default_rng(10).standard_normal((passes, KEY_BITS, size))
 
 
-def unit_rows(values: list) -> np.ndarray:
+def unit_rows(values: list | np.ndarray) -> np.ndarray:
     """Vectors of one length divided by their norms, in double precision.
 
     They are scaled by their largest component first, so that no square overflows.
@@ -45,29 +46,32 @@ def unit_rows(values: list) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _keys(passes: int):
-    schema = pa.schema([("pass", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("key", pa.binary()), ("rep", pa.int64()), ("values", pa.list_(pa.float64()))])
+_KEYED = "pass int, label long, size int, key long, rep long, values array<double>"
 
-    @tidy
 
+def _keys(passes: int, window: int):
+    schema = pa.schema([("pass", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("key", pa.int64()), ("rep", pa.int64()), ("values", pa.list_(pa.float64()))])
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                vectors = part.column("values").to_pylist()
-                sizes = np.array([len(v) for v in vectors])
+                sizes = part.column("size").to_numpy()
                 for size in np.unique(sizes).tolist():
                     mine = np.flatnonzero(sizes == size)
-                    rows = pa.RecordBatch.from_arrays([part.column(c).take(pa.array(mine)) for c in ("label", "rep", "values")], names=["label", "rep", "values"])
-                    unit = unit_rows([vectors[i] for i in mine])
+                    rows = part.take(pa.array(mine))
+                    unit = unit_rows(rows.column("values").to_pylist())
+                    many = rows.column("members").to_numpy()
+                    bits = np.clip(np.ceil(np.log2(many / window)), 1, KEY_BITS).astype(np.int64)
                     for p, turn in enumerate(directions(size, passes)):
-                        bits = np.packbits(unit @ turn.T > 0, axis=1)
+                        key = (unit @ turn.T > 0) @ (1 << np.arange(KEY_BITS))
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(np.full(len(mine), p, dtype=np.int32)),
                                 rows.column("label"),
-                                pa.array(np.full(len(mine), size, dtype=np.int32)),
-                                pa.array([b.tobytes() for b in bits], type=pa.binary()),
+                                rows.column("size"),
+                                pa.array(key & ((1 << bits) - 1)),
                                 rows.column("rep"),
                                 rows.column("values"),
                             ],
@@ -77,30 +81,56 @@ def _keys(passes: int):
     return run
 
 
-def _windows(threshold: float, window: int):
+def _unite(forest: Forest, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> None:
+    """Join what a tile links; each row and column of the tile is looked at once."""
+    rows, cols = linked.any(axis=1), linked.any(axis=0)
+    for start in np.flatnonzero(rows).tolist():
+        if not rows[start]:
+            continue
+        first, rows[start] = int(left[start]), False
+        at = np.array([start])
+        while len(at):
+            near = np.flatnonzero(linked[at].any(axis=0) & cols)
+            cols[near] = False
+            for k in near.tolist():
+                forest.join(first, int(right[k]))
+            at = np.flatnonzero(linked[:, near].any(axis=1) & rows)
+            rows[at] = False
+            for k in at.tolist():
+                forest.join(first, int(left[k]))
+
+
+def _link_tiles(threshold: float):
+    keys = ["pass", "label", "size", "key", "i", "j"]
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Tiles one by one: rows are sorted by them."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            begin = run_starts(*(batch.column(c).to_numpy() for c in keys)).tolist()
+            for b, e in zip(begin, [*begin[1:], batch.num_rows]):
+                part = batch.slice(b, e - b)
+                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in keys):
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield pa.Table.from_batches(held)
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        tail: tuple | None = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                groups = list(zip(*(part.column(c).to_pylist() for c in ("pass", "label", "size"))))
-                reps, vectors = part.column("rep").to_pylist(), part.column("values").to_pylist()
-                begin = 0
-                while begin < len(groups):
-                    end = begin
-                    while end < len(groups) and groups[end] == groups[begin]:
-                        end += 1
-                    ids, unit = np.array(reps[begin:end], dtype=np.int64), unit_rows(vectors[begin:end])
-                    if tail and tail[0] == groups[begin]:  # the run goes on from the last batch
-                        ids, unit = np.concatenate([tail[1], ids]), np.vstack([tail[2], unit])
-                    for gap in range(1, min(window, len(ids) - 1) + 1):
-                        close = np.flatnonzero((unit[:-gap] * unit[gap:]).sum(axis=1) >= threshold)
-                        for i in close.tolist():
-                            forest.join(int(ids[i]), int(ids[i + gap]))
-                    tail = (groups[begin], ids[-window:], unit[-window:])
-                    begin = end
+        for tile in tiles(batches):
+            if tile.num_rows < 2:
+                continue
+            values = tile.column("values").combine_chunks()
+            unit = unit_rows(values.flatten().to_numpy().reshape(tile.num_rows, -1))
+            rep, left = tile.column("rep").to_numpy(), tile.column("side").to_numpy() == 0
+            right = left if tile.column("i")[0] == tile.column("j")[0] else ~left
+            linked = unit[left] @ unit[right].T >= threshold
+            if right is left:
+                np.fill_diagonal(linked, False)
+            _unite(forest, rep[left], rep[right], linked)
         yield forest.edges()
 
     return run
@@ -139,6 +169,34 @@ def _count_tiles(threshold: float):
     return run
 
 
+def _ranges(reps: DataFrame, passes: int, window: int, tile: int) -> DataFrame:
+    """Rows of reps in each range they are compared in, with the range's number of blocks."""
+    of = ["label", "size"]
+    labels = stored(reps.groupBy(*of).agg(F.count("*").alias("members")))
+    blocks = F.ceil(F.col("members") / F.lit(tile)).alias("blocks")
+    columns = ["pass", *of, "key", "rep", "values", "blocks"]
+
+    def whole(some: DataFrame) -> DataFrame:
+        one = some.select(*of, F.lit(-1).alias("pass"), F.lit(0).cast("long").alias("key"), blocks)
+        return reps.join(one, of).select(*columns)
+
+    large = labels.where(F.col("members") > passes * tile)
+    if not large.limit(1).count():
+        return whole(labels)
+    keyed = reps.join(large, of).select(*of, "members", "rep", "values").mapInArrow(_keys(passes, window), _KEYED)
+    sizes = stored(keyed.groupBy("pass", *of, "key").agg(F.count("*").alias("members")))
+    work = sizes.groupBy(*of).agg(F.sum(F.col("members") * F.col("members")).alias("work"))
+    spread = large.join(work, of).where(F.col("work") < F.col("members") * F.col("members")).select(*of)
+    spread = stored(spread)
+    crowded = sizes.where(F.col("members") > tile).select("pass", *of, "key", blocks)
+    parted = (
+        keyed.join(spread, of, "left_semi")
+        .join(crowded, ["pass", *of, "key"], "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    )
+    return whole(labels.join(spread, of, "left_anti")).unionByName(parted.select(*columns))
+
+
 def near_duplicate_vectors(
     vectors: DataFrame, threshold: float = 0.98, passes: int = PASSES, window: int = WINDOW, tile: int = TILE
 ) -> DataFrame:
@@ -164,10 +222,20 @@ def near_duplicate_vectors(
         .groupBy("label", "values")
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
     )
-    keyed = reps.mapInArrow(_keys(passes), "pass int, label long, size int, key binary, rep long, values array<double>")
     n = partitions(spark)
-    order = ["pass", "label", "size", "key", "rep"]
-    links = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_windows(threshold, window), "a long, b long")
+    ranges = _ranges(reps.withColumn("size", F.size("values")), passes, window, tile)
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = ranges.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    order = ["pass", "label", "size", "key", "i", "j"]
+    dealt = dealt.select(
+        *order[:4],
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
+        "rep",
+        "values",
+    )
+    links = dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_link_tiles(threshold), "a long, b long")
     groups = stored(connected_components(links))
     # All pairs within a component, counted in tiles.
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("blocks"))
