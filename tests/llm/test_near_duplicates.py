@@ -81,6 +81,26 @@ def test_crowded_regions_keep_their_links(spark, monkeypatch):
     check(near_duplicates(frame(spark, rows)).collect(), rows)
 
 
+def boilerplate(pairs):
+    """Texts that share 0.70 of their shingles with each other, and 0.76 in pairs."""
+    rng = random.Random(8)
+    common = " ".join(f"c{k}" for k in range(248))
+    rows = []
+    for _ in range(pairs):
+        both = " ".join(f"b{rng.random()}" for _ in range(12))
+        rows += [f"{common} {both} " + " ".join(f"o{rng.random()}" for _ in range(40)) for _ in range(2)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_crowded_regions_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(minhash_forest, "REGION", 16)
+    monkeypatch.setattr(minhash_forest, "TILE", 16, raising=False)
+    rows = boilerplate(90) + star(60)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    check(near_duplicates(frame(spark, rows)).collect(), rows)
+
+
 def test_edges_of_the_threshold(spark):
     words = [f"w{k}" for k in range(39)]  # 35 shingles
     near = words[:-5] + ["x"] * 5  # 30 of 40 shared: exactly 75 in 100

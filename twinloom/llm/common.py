@@ -106,6 +106,21 @@ def run_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of each combination of keys, one combination after the other; rows are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        begin = run_starts(*(batch.column(c).to_numpy() for c in keys)).tolist()
+        for b, e in zip(begin, [*begin[1:], batch.num_rows]):
+            part = batch.slice(b, e - b)
+            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in keys):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

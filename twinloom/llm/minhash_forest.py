@@ -10,11 +10,12 @@ Candidates, within a region:
   * the region's most central class with each other one (a crowded region keeps these pairs
     before it is split, so that copies of one original stay linked to it),
   * in small regions all pairs, in others the neighbours of longest common prefix in the
-    order and the nearest by whole signature.
+    order.
 Candidates whose signatures differ too much are dropped (by five standard deviations below
 the threshold). The others are confirmed on their full sets: each set travels once to each
-pair's hub, hubs in chunks. A second round takes what lies in one region but is not yet in one
-component. Components are those of the confirmed links.
+pair's hub, hubs in chunks. A second round takes all pairs that share a region of the
+first depth, however crowded, but are not yet in one component: crowded regions in tiles of
+signatures. Components are those of the confirmed links.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinloom.llm.common import (
@@ -33,6 +34,7 @@ from twinloom.llm.common import (
     odd_numbers,
     partitions,
     run_starts,
+    sorted_groups,
     stored,
     text_segments,
     tidy,
@@ -47,7 +49,7 @@ HASHES = TREES * OWN
 DEPTHS = (3, 5, 8, 12)
 REGION = 256  # classes compared in one region
 SMALL_REGION = 24  # classes that are compared pair by pair
-NEAREST = 3
+TILE = 1024  # classes on a side of a tile of signatures
 DEVIATIONS = 5.0
 CHUNK = 128  # sets compared with one copy of a hub's set
 
@@ -173,46 +175,35 @@ def least_matches(percent: int) -> int:
     return max(1, int(HASHES * p - DEVIATIONS * (HASHES * p * (1 - p)) ** 0.5))
 
 
-def _region_pairs(percent: int, apart: bool):
-    """Candidate pairs (hub, other) of regions; ``apart``: only across components."""
+def _region_pairs(percent: int):
+    """Candidate pairs (hub, other) of regions."""
     least = least_matches(percent)
     schema = pa.schema([("hub", pa.int64()), ("other", pa.int64())])
     orders = tree_orders()
 
-    def pairs_of(rep, sig, group, central, tree):
+    def pairs_of(rep, sig, central, tree):
         same = (sig[:, None, :] == sig[None, :, :]).sum(axis=2)
         fit = same >= least
         np.fill_diagonal(fit, False)
-        if apart:
-            fit &= group[:, None] != group[None, :]
         n = len(rep)
         if n <= SMALL_REGION:
-            if not apart:
-                return np.nonzero(np.triu(fit))
             return np.nonzero(np.triu(fit))
         hubs, others = [], []
-        if not apart:  # the most central class of those left takes all that are near it
-            left = np.ones(n, dtype=bool)
-            support = same.sum(axis=1) + central / (central.max() + 1)
-            while left.any():
-                hub = int(np.argmax(np.where(left, support, -1)))
-                near = np.flatnonzero(fit[hub])
-                left[hub] = False
-                hubs.append(np.full(len(near), hub))
-                others.append(near)
-                left[near] = False
+        # the most central class of those left takes all that are near it
+        left = np.ones(n, dtype=bool)
+        support = same.sum(axis=1) + central / (central.max() + 1)
+        while left.any():
+            hub = int(np.argmax(np.where(left, support, -1)))
+            near = np.flatnonzero(fit[hub])
+            left[hub] = False
+            hubs.append(np.full(len(near), hub))
+            others.append(near)
+            left[near] = False
         sorted_ = np.lexsort(sig[:, orders[tree][::-1]].T)  # neighbours in the tree's own order
         a, b = sorted_[:-1], sorted_[1:]
         ok = fit[a, b]
         hubs.append(a[ok])
         others.append(b[ok])
-        if apart:
-            ranked = np.argsort(-np.where(fit, same, -1), axis=1, kind="stable")[:, :NEAREST]
-            rows = np.repeat(np.arange(n), ranked.shape[1])
-            cols = ranked.ravel()
-            ok = fit[rows, cols]
-            hubs.append(rows[ok])
-            others.append(cols[ok])
         return np.concatenate(hubs), np.concatenate(others)
 
     @tidy
@@ -222,18 +213,16 @@ def _region_pairs(percent: int, apart: bool):
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        key, rep, group, central, tree = (
-            table.column(c).to_numpy() for c in ("key", "rep", "group", "central", "tree")
-        )
+        key, rep, central, tree = (table.column(c).to_numpy() for c in ("key", "rep", "central", "tree"))
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
         order = np.lexsort((rep, key))
         begin = run_starts(key[order])
         found: set[tuple[int, int]] = set()
         for b, e in zip(begin.tolist(), np.append(begin[1:], len(order)).tolist()):
             mine = order[b:e]
-            if len(mine) < 2 or (apart and len(np.unique(group[mine])) < 2):
+            if len(mine) < 2:
                 continue
-            h, o = pairs_of(rep[mine], sig[mine], group[mine], central[mine], int(tree[mine[0]]))
+            h, o = pairs_of(rep[mine], sig[mine], central[mine], int(tree[mine[0]]))
             found.update((x, y) if x < y else (y, x) for x, y in zip(rep[mine][h].tolist(), rep[mine][o].tolist()))
         rows = list(found)
         yield pa.RecordBatch.from_arrays(
@@ -243,24 +232,113 @@ def _region_pairs(percent: int, apart: bool):
     return run
 
 
-def forest_regions(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions (tree, key, rep, central) of adaptive depth, and hub pairs of crowded ones.
+def _across(percent: int):
+    """Candidate pairs of tiles: all across components, each from the first tree it shares.
+
+    Rows are sorted by tile.
+    """
+    least = least_matches(percent)
+    schema = pa.schema([("hub", pa.int64()), ("other", pa.int64())])
+    heads = tree_orders()[:, : DEPTHS[0]].tolist()
+    keys = ["key", "i", "j"]
+
+    def pairs_of(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rep, group = tile.column("rep").to_numpy(), tile.column("group").to_numpy()
+        sig = np.frombuffer(b"".join(tile.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
+        tree = tile.column("tree")[0].as_py()
+        left = tile.column("side").to_numpy() == 0
+        alone = tile.column("i")[0] == tile.column("j")[0]
+        right = left if alone else ~left
+        fit = group[left][:, None] != group[right][None, :]
+        if not fit.any():
+            return rep[:0], rep[:0]
+        a, b = sig[left].T.copy(), sig[right].T.copy()
+        same = np.zeros(fit.shape, dtype=np.uint8)
+        for h in range(HASHES):
+            same += a[h][:, None] == b[h][None, :]
+        fit &= same >= least
+        if alone:
+            fit &= np.tri(len(fit), k=-1, dtype=bool)
+        x, y = np.nonzero(fit)
+        first = np.ones(len(x), dtype=bool)
+        for head in heads[:tree]:  # an earlier tree has the pair in one region
+            first &= (a[head][:, x] != b[head][:, y]).any(axis=0)
+        return rep[left][x[first]], rep[right][y[first]]
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in sorted_groups(batches, keys):
+            hub, other = pairs_of(tile)
+            for at in range(0, len(hub), 1 << 16):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hub[at : at + (1 << 16)]), pa.array(other[at : at + (1 << 16)])], schema=schema
+                )
+
+    return run
+
+
+def pairs_across(entry: DataFrame, groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Candidates (hub, other) of different components in one region (tree, key, rep) of ``entry``.
+
+    A component with more than TILE members of a region has blocks of its own, which do not
+    meet each other; the other members share blocks by component.
+    """
+    n = partitions(entry.sparkSession)
+    grouped = entry.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    grouped = stored(grouped.select("tree", "key", "rep", F.coalesce("component", "rep").alias("group")))
+    counts = stored(grouped.groupBy("key", "group").agg(F.count("*").alias("m")))
+    large = F.col("m") > TILE
+    blocks = F.ceil(F.col("m") / F.lit(TILE))
+    regions = stored(
+        counts.groupBy("key")
+        .agg(
+            F.count("*").alias("many"),
+            F.ceil(F.sum(F.when(~large, F.col("m")).otherwise(0)) / F.lit(TILE)).alias("common"),
+            F.sum(F.when(large, blocks).otherwise(0)).alias("own"),
+        )
+        .where("many > 1")
+        .select("key", "common", (F.col("common") + F.col("own")).alias("all"))
+    )
+    upto = Window.partitionBy("key").orderBy("group")  # large components of a region only
+    own = counts.where(large).select("key", "group", blocks.alias("width"), (F.sum(blocks).over(upto) - blocks).alias("begin"))
+    rows = grouped.join(regions, "key").join(own, ["key", "group"], "left").join(reps.select("rep", "signature"), "rep")
+    low = F.col("common") + F.col("begin")
+    block = F.coalesce(low + F.pmod(F.xxhash64("rep"), F.col("width")), F.pmod(F.xxhash64("group"), F.col("common")))
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)))
+    rows = rows.where(F.col("width").isNull() | (F.col("other") < low) | (F.col("other") >= low + F.col("width")))
+    rows = rows.select(
+        "key",
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
+        "tree",
+        "rep",
+        "group",
+        "signature",
+    )
+    order = ["key", "i", "j"]
+    return rows.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_across(percent), "hub long, other long")
+
+
+def forest_regions(reps: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Regions (tree, key, rep, central) of adaptive depth, hub pairs of crowded ones, regions of the first depth.
 
     ``central`` of a class is the number of classes around it, summed over the trees.
     """
     found = reps.mapInArrow(_enter, "tree int, key long, rep long")
     regions, pairs = [], []
-    central = None
+    central = entry = None
     for level, depth in enumerate(DEPTHS):
         sizes = stored(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
         members = stored(found.join(sizes, "key"))
         if central is None:
+            entry = members.select("tree", "key", "rep")
             central = stored(members.groupBy("rep").agg(F.sum("n").alias("central")))
         members = members.join(central, "rep")
         regions.append(members.where(F.col("n") <= REGION).select("tree", "key", "rep", "central"))
         crowded = stored(members.where(F.col("n") > REGION))
         if not crowded.limit(1).count():
-            return _union(regions), (_union(pairs) if pairs else None)
+            return _union(regions), (_union(pairs) if pairs else None), entry
         top = F.max_by("rep", F.struct("central", -F.col("rep"))).alias("hub")
         hubs = stored(crowded.groupBy("key").agg(top))
         pairs.append(crowded.join(hubs, "key").select("hub", F.col("rep").alias("other")).where("hub <> rep"))
@@ -270,7 +348,7 @@ def forest_regions(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:  # as deep as signatures go: parts of a region, each with the hub pairs above
             part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.lit(REGION / 2)))
             regions.append(crowded.withColumn("key", F.xxhash64("key", part)).select("tree", "key", "rep", "central"))
-    return _union(regions), _union(pairs)
+    return _union(regions), _union(pairs), entry
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -386,23 +464,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         .groupBy(*same)
         .agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
     )
-    regions, hub_pairs = forest_regions(reps)
-    regions = stored(regions)
-    n = partitions(docs.sparkSession)
-    signed = stored(regions.join(reps.select("rep", "signature"), "rep"))
-
-    def compared(rows: DataFrame, apart: bool) -> DataFrame:
-        dealt = rows.select("key", "tree", "rep", "group", "central", "signature").repartition(n, "key")
-        return dealt.mapInArrow(_region_pairs(percent, apart), "hub long, other long")
-
-    pairs = compared(signed.withColumn("group", F.col("rep")), False)
+    regions, hub_pairs, entry = forest_regions(reps)
+    signed = regions.join(reps.select("rep", "signature"), "rep")
+    dealt = signed.select("key", "tree", "rep", "central", "signature").repartition(partitions(docs.sparkSession), "key")
+    pairs = dealt.mapInArrow(_region_pairs(percent), "hub long, other long")
     if hub_pairs is not None:
         pairs = pairs.unionByName(hub_pairs)
     links = stored(confirmed(pairs, known, percent))
     groups = stored(connected_components(links))
-    grouped = signed.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    grouped = grouped.withColumn("group", F.coalesce("component", "rep"))
-    pairs = stored(compared(grouped, True))
+    pairs = stored(pairs_across(entry, groups, reps, percent))
     if pairs.limit(1).count():
         more = stored(confirmed(pairs, known, percent))
         groups = stored(connected_components(links.unionByName(more)))
