@@ -93,6 +93,12 @@ def boilerplate(pairs):
     return list(enumerate(rows))
 
 
+def test_look_alikes_do_not_hide_a_link(spark):
+    """In a region that is not crowded, a true partner may rank behind many others."""
+    rows = boilerplate(60)
+    check(near_duplicates(frame(spark, rows)).collect(), rows)
+
+
 def test_crowded_regions_are_compared_in_full(spark, monkeypatch):
     monkeypatch.setattr(minhash_forest, "REGION", 16)
     monkeypatch.setattr(minhash_forest, "TILE", 16, raising=False)
