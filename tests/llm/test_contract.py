@@ -1,0 +1,52 @@
+"""The columns that each registered query promises, on the smallest tables."""
+
+import pytest
+
+from twinloom.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+ENDS = "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string"
+COLUMNS = {
+    1: "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    2: "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    3: "query_id bigint, rank int, vec_id bigint, score bigint",
+    4: "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    5: "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    6: "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    7: "doc_id bigint, held_out boolean, score double, predicted int",
+    8: "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+    9: "doc_id bigint, held_out boolean, lang_pred string, score double",
+    10: "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    11: ENDS,
+    12: "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    13: "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
+}
+TABLES = {3: "embeddings", 10: "embeddings", 11: "conversations", 12: "pages", 13: "embeddings"}
+
+
+def number(name):
+    return int(name[2:].split("_")[0])
+
+
+def test_all_operators_are_registered():
+    assert sorted(map(number, QUERIES)) == sorted(COLUMNS)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES, key=number))
+def test_columns_and_rows(spark, name):
+    n = number(name)
+    df = QUERIES[name](spark, SF)
+    got = dict(df.dtypes)
+    want = dict(c.split(" ") for c in COLUMNS[n].split(", "))
+    assert {c: got.get(c) for c in want} == want
+    rows = df.collect()
+    table = spark.read.parquet(f"{SF}/{TABLES.get(n, 'documents')}.parquet")
+    if n in (1, 4, 5, 6, 7, 8, 9):
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in table.select("doc_id").collect())
+    elif n == 2:
+        assert {r.doc_id for r in rows} == {r.doc_id for r in table.select("doc_id").collect()}
+    elif n in (10, 12, 13):
+        assert len(rows) == table.count()
+    for c in ("ids_sha256", "kept_sha256", "decoded_sha256", "payload_digest"):
+        if c in want:
+            assert all(len(r[c]) == 64 and r[c] == r[c].lower() for r in rows)

@@ -1,0 +1,125 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from twinloom.llm import prefix_trie as trie
+
+SCHEMA = "conv_id long, turn long, role string, text string, depth string, n_convs string"
+
+
+def turn_key(row):
+    _, turn, role, text = row
+    role, text = role or "", text or ""
+    digest = hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest()
+    halves = [int.from_bytes(digest[k : k + 8], "big", signed=True) for k in (0, 8)]
+    return (turn is not None, turn or 0, role.encode(), *halves)
+
+
+def brute(rows):
+    own = {}
+    for r in sorted((r for r in rows if r[0] is not None), key=turn_key):
+        own.setdefault(r[0], []).append((r[2] or "", r[3] or ""))
+    paths = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = own.get(c - (abs(c) % 100) * (1 if c >= 0 else -1), [])
+        paths[c] = tuple(base[:h] + turns[h:])
+    members = {}
+    for c, p in paths.items():
+        for d in range(len(p) + 1):
+            members.setdefault(p[:d], []).append(c)
+    children, out = {}, []
+    for p in members:
+        if p:
+            children.setdefault(p[:-1], []).append(p)
+    totals = {}
+    for p in sorted(members, key=len, reverse=True):
+        size = len(p[-1][1]) if p else 0
+        below = [totals[k] for k in children.get(p, [])]
+        totals[p] = (sum(x for x, _ in below) or 1, (len(members[p]) - 1) * size + sum(y for _, y in below))
+    for p, who in members.items():
+        ends = ",".join(map(str, sorted(c for c in who if len(paths[c]) == len(p))))
+        parent = min(members[p[:-1]]) if p else None
+        out.append((min(who), len(p), parent, len(who), len(children.get(p, [])), *totals[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def conversations(seed, n=260):
+    rng = random.Random(seed)
+    texts = ["", "a", "bé", "c c", "ddd"]
+    rows = []
+    for c in [*range(n), 100_000, -250, -201, 10**15]:
+        if c == 200:  # a group without its first conversation
+            continue
+        for t in range(rng.choice([1, 2, 5, 9])):
+            rows.append((c, t, rng.choice(["user", "assistant"]) if t else "user", rng.choice(texts[: 1 + c % 5])))
+    rows += [(7, None, None, None), (8, 0, "user", None), (9, 0, "a", "x"), (9, 0, "a", "y"), (None, 0, "user", "lost"), (11, 3, "r", "twice"), (11, 3, "r", "twice")]
+    rows += [(150, t, "user", f"long {t % 3}") for t in range(20, 1500)]  # one conversation holds half of all rows
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", "x") for r in rows], SCHEMA).repartition(5)
+
+
+@pytest.mark.parametrize("shard, least, limit", [(1 << 18, 1 << 11, 1 << 16), (64, 9, 4)])
+def test_like_brute_force(spark, monkeypatch, shard, least, limit):
+    monkeypatch.setattr(trie, "SHARD_NODES", shard)
+    monkeypatch.setattr(trie, "LEAST_SHARD", least)
+    monkeypatch.setattr(trie, "QUEUE_LIMIT", limit)
+    rows = conversations(shard)
+    got = trie.prefix_trie(frame(spark, rows))
+    assert got.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_copies_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(trie, "PIECE_IDS", 16)
+    rows = [(c * 100, t, "user", "same") for c in range(400) for t in range(2)] + [(1, 0, "user", "other")]
+    assert sorted(map(tuple, trie.prefix_trie(frame(spark, rows)).collect()), key=str) == brute(rows)
+
+
+def test_none_and_one(spark):
+    assert trie.prefix_trie(frame(spark, [])).collect() == []
+    assert trie.prefix_trie(frame(spark, [(None, 1, "a", "b")])).collect() == []
+    one = [(3, 1, "a", "b")]  # rebuilt without turns: conversation 0 is missing, crc32("3") % 6 > 0 decides
+    assert sorted(map(tuple, trie.prefix_trie(frame(spark, one)).collect()), key=str) == brute(one)
+
+
+def test_sums_over_shards_follow_the_forest(spark, monkeypatch):
+    """A chain and a star cut over many shards: sums pass from shard to shard."""
+    monkeypatch.setattr(trie, "SHARD_NODES", 32)
+    monkeypatch.setattr(trie, "LEAST_SHARD", 4)
+    monkeypatch.setattr(trie, "QUEUE_LIMIT", 4)
+    levels = []
+    sums = trie.subtree_sums
+    monkeypatch.setattr(trie, "subtree_sums", lambda nodes: levels.append(1) or sums(nodes))
+    chain = [(d, 5, d - 1 if d else None, 5 if d else None, 1, d) for d in range(700)]
+    star = [(1, 1000 + k, 0, 5, 1, 1) for k in range(400)]
+    nodes = spark.createDataFrame(chain + star, "depth long, conv_id long, up_depth long, up_conv long, a long, b long")
+    got = {(r.depth, r.conv_id): (r.a, r.b) for r in trie.subtree_sums(nodes).collect()}
+    assert len(got) == 1100 and len(levels) >= 2
+    upto = sum(range(700))
+    assert got[0, 5] == (1100, upto + 400)
+    assert all(got[d, 5] == (700 - d, sum(range(d, 700))) for d in range(1, 700))
+    assert all(got[1, 1000 + k] == (1, 1) for k in range(400))
+
+
+def test_queue_spills_and_merges():
+    rng = random.Random(1)
+    queue, want = trie.SpillingQueue(limit=8), {}
+    for _ in range(4000):
+        address = (rng.randrange(60), rng.randrange(60))
+        queue.push(address, 1, 2)
+        n = want.get(address, (0, 0))
+        want[address] = (n[0] + 1, n[1] + 2)
+        if rng.random() < 0.02:
+            least, a, b = queue.pop()
+            assert least == min(want) and (a, b) == want.pop(least)
+    got = []
+    while queue.least() is not None:
+        address, a, b = queue.pop()
+        got.append((address, (a, b)))
+    assert queue.spills > 50 and got == sorted(want.items())
