@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 
@@ -64,9 +65,12 @@ def test_an_archive_that_was_changed(spark):
     warc.write_archives(frame(spark, [(1, "u", "payload " * 20)]), folder)
     archive = spark.read.format("binaryFile").load(folder).where("length > 0").first().content
     fields, block = next(warc.parsed(bytes(archive)))
-    assert fields["warc-type"] == "response" and bytes(block).endswith(b"payload " * 20)
-    with pytest.raises(ValueError):
-        list(warc.parsed(bytes(archive).replace(b"payload ", b"p")))
+    assert fields["warc-type"] == "response" and block.endswith(b"payload " * 20)
+    plain = gzip.decompress(bytes(archive))
+    assert list(warc.parsed(plain)) == [(fields, block)]
+    for changed in (plain.replace(b"payload ", b"p"), plain[:-9], b"x" + plain):
+        with pytest.raises(ValueError):
+            list(warc.parsed(changed))
 
 
 def test_no_pages(spark):

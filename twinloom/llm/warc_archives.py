@@ -8,13 +8,15 @@ found in a third of all pages is written and moved once.
 The archives are written by Spark's text sink: a record's header and block are one text, and
 the line separator is the empty lines that end a record. Tasks commit their files as in any
 other write, so lost executors leave no half archives, and any file system that Spark writes to
-will do. Reading walks an archive by Content-Length, since a payload may hold empty lines of
-its own, and checks every digest; it holds one archive, of about ARCHIVE_BYTES, per task.
+will do. An archive is one gzip stream. Reading walks an archive by Content-Length, since a payload may hold empty lines of
+its own, and checks every digest; it holds one archive, of less than about ARCHIVE_BYTES, per task.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import math
 from collections.abc import Iterator
 
@@ -134,7 +136,7 @@ def write_archives(
     lean = whole.withColumn("html", F.when(F.col("record_type") == "response", F.col("html")))
     spread = F.xxhash64("page_id", "payload_digest", "url", F.monotonically_increasing_id())
     text = lean.withColumn("spread", spread).repartition(files, "spread").select(record_text(written).alias("value"))
-    text.write.option("lineSep", END).text(folder)
+    text.write.option("lineSep", END).option("compression", "gzip").text(folder)
 
 
 # ---- reading -----------------------------------------------------------------------
@@ -153,21 +155,23 @@ _RECORD_SCHEMA = pa.schema(
 )
 
 
-def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Header fields (names in lower case) and block of each record."""
-    at, view = 0, memoryview(archive)
-    while at < len(archive):
-        end = archive.index(END.encode(), at)
-        version, *lines = archive[at:end].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        fields = {n.lower(): v for n, v in (x.split(": ", 1) for x in lines)}
-        begin = end + 4
-        at = begin + int(fields["content-length"])
-        yield fields, view[begin:at]
-        if archive[at : at + 4] != END.encode():
-            raise ValueError(f"the record before byte {at} has another length than its header says")
-        at += 4
+def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of each record of an archive, compressed or not."""
+    stream = io.BytesIO(archive)
+    if archive[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 16)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {line[:40]!r}")
+        fields: dict[str, str] = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().rstrip("\r\n").partition(": ")
+            fields[name.lower()] = value
+        size = int(fields["content-length"])
+        block = stream.read(size)
+        if len(block) < size or stream.read(4) != END.encode():
+            raise ValueError(f"{fields['warc-record-id']}: another length than its header says")
+        yield fields, block
 
 
 def _page(uri: str | None) -> int | None:
@@ -179,12 +183,11 @@ def _read(with_payload: bool):
     names = [n for n in _RECORD_SCHEMA.names if with_payload or n != "payload"]
     schema = pa.schema([_RECORD_SCHEMA.field(n) for n in names])
 
-    def record(fields: dict[str, str], block: memoryview) -> dict:
+    def record(fields: dict[str, str], block: bytes) -> dict:
         kind = fields["warc-type"]
         payload = None
         if kind == "response":
-            head = bytes(block[: 1 << 12]).index(END.encode()) + 4
-            payload = block[head:]
+            payload = block[block.index(END.encode()) + 4 :]
             if fields["warc-payload-digest"] != "sha256:" + hashlib.sha256(payload).hexdigest():
                 raise ValueError(f"{fields['warc-record-id']}: the payload has another digest")
         return {
@@ -194,7 +197,7 @@ def _read(with_payload: bool):
             "refers_to": _page(fields.get("warc-refers-to")),
             "payload_bytes": len(payload) if payload is not None else int(fields["payload-length"]),
             "payload_digest": fields["warc-payload-digest"].removeprefix("sha256:"),
-            "payload": bytes(payload) if with_payload and payload is not None else None,
+            "payload": payload if with_payload else None,
         }
 
     @tidy
