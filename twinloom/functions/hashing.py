@@ -60,6 +60,10 @@ class Draws:
             return F.md5(text)
         return F.sha2(F.concat(F.lit(self.secret), text), 256)
 
+    def key(self, *key: Column) -> Column:
+        """A whole number of 52 bits as a double, other than 0: names a row for draws within tasks."""
+        return F.conv(F.substring(self.digest(*key), 1, _DIGITS), 16, 10).cast("bigint").cast("double") + F.lit(1.0)
+
     def uniform(self, *key: Column, draw: int = 0) -> Column:
         """Uniform in (0, 1). ``draw`` 0 and 1 are independent draws of one key."""
         if self.fast:

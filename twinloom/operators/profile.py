@@ -36,6 +36,7 @@ PREFERRED_TARGETS = (
 # Category limits of column typing and of target choice.
 MAX_CATEGORIES = 20
 TARGET_CLASSES = (2, 10)
+LEAST_TARGET_ROWS = 50  # of a table whose column is worth predicting
 
 # 2**12 registers: a standard error below 2 %.
 _SKETCH_LG_K = 12
@@ -420,6 +421,31 @@ def pick_target(
     return table, next(c for c in df.columns if c != "id")
 
 
+def learnable_target(
+    tables: dict[str, DataFrame],
+    names: KeyNames = KeyNames(),
+    sketches: list[Sketch] | None = None,
+    least_rows: int = LEAST_TARGET_ROWS,
+) -> tuple[str, str] | None:
+    """The target of :func:`pick_target` among tables that something can be learned from; None if there is none.
+
+    Such a table has at least ``least_rows`` rows and, beside the target, a column that is no key; a table of
+    five rows or with keys only would give an error instead of a score.
+    """
+    sketches = sketches if sketches is not None else sketch_columns(tables)
+    rows = {s.attr.table: s.rows for s in sketches}
+
+    def features(df: DataFrame) -> list[str]:
+        return [f.name for f in df.schema.fields if not names.is_key_like(f.name) and is_scalar(f.dataType)]
+
+    fit = {t: df for t, df in tables.items() if rows.get(t, 0) >= least_rows and len(features(df)) > 1}
+    if not fit:
+        return None
+    mine = [s for s in sketches if s.attr.table in fit]
+    table, column = pick_target(fit, names, sketches=mine)
+    return (table, column) if column in features(fit[table]) else None
+
+
 def pick_compare_columns(
     tables: dict[str, DataFrame], primary_keys: dict[str, str], k: int = 6
 ) -> DataFrame:

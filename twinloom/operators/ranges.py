@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinloom.runtime import pinned
+
 Walk = Callable[[pd.DataFrame, np.ndarray, np.ndarray], dict]
 
 
@@ -133,3 +135,20 @@ def dense_index(
         .join(F.broadcast(offsets), "_b")
         .select(key, (F.col("_off") + F.col("_i") - 1).alias(output))
     )
+
+
+def ordered_index(df: DataFrame, keys: list[str], output: str = "idx") -> DataFrame:
+    """Number distinct rows 0, 1, 2, ... in the order of ``keys``, without a one-task window.
+
+    Each range numbers its own rows; the sizes of the ranges before it (a row per range) are added.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id()  # range number and place in the range
+    placed = pinned(
+        df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).withColumn("_m", place)
+    ).select("*", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_i"))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_off"))
+    return placed.join(F.broadcast(offsets), "_p").select(*df.columns, (F.col("_off") + F.col("_i")).alias(output))

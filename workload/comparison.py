@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from twinloom.functions.naming import KeyNames
@@ -374,11 +375,16 @@ def _order_halves(spark, sf):
 def tstr_features(spark, sf):
     """Features of both sides, aligned by the real side's columns and categories."""
     real, synth = _order_halves(spark, sf)
-    wanted = features.aligned_features(real, synth, KEYS, ("o_orderpriority",))
-    columns = ["o_orderkey", *[e.alias(n) for n, e in wanted.items()]]
-    return real.select(*columns, F.lit(True).alias("is_real")).unionByName(
-        synth.select(*columns, F.lit(False).alias("is_real"))
-    )
+    space = features.feature_space(real, synth, KEYS, ("o_orderpriority",))
+    names = [r.feature for r in space.names(real).orderBy("idx").collect()]  # three states and two numbers
+    value = vector_to_array("features")
+
+    def rows(df, is_real):
+        vectors = space.vectors(df, F.col("o_orderkey"))
+        columns = [F.get(value, F.lit(i)).alias(n) for i, n in enumerate(names)]
+        return vectors.select("o_orderkey", *columns, F.lit(is_real).alias("is_real"))
+
+    return rows(real, True).unionByName(rows(synth, False))
 
 
 @query(

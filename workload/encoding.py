@@ -112,16 +112,13 @@ def _halves(spark, sf):
 def dummies_align(spark, sf):
     """Column sums of the aligned feature matrices of two halves of ``events``."""
     real, synth = _halves(spark, sf)
-    wanted = features.aligned_features(real, synth, KEYS, exclude=("ts",))
+    space = features.feature_space(real, synth, KEYS, exclude=("ts",))
 
     def sums(df, alias):
-        cells = [
-            F.struct(F.lit(n).alias("feature"), F.round(F.sum(e), 4).alias(alias))
-            for n, e in wanted.items()
-        ]
-        return df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+        return space.sums(df).select("idx", F.round("total", 4).alias(alias))
 
-    return sums(real, "real_sum").join(sums(synth, "synth_sum"), "feature")
+    named = space.names(real).join(sums(real, "real_sum"), "idx").join(sums(synth, "synth_sum"), "idx")
+    return named.select("feature", "real_sum", "synth_sum")
 
 
 @query(
