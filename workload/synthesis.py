@@ -13,7 +13,7 @@ from twinloom.operators.marginals import MISSING, Domain
 from twinloom.operators.profile import category_domain, row_counts
 from twinloom.operators.ranges import dense_index
 from twinloom.plans.synthesize import synthesize
-from twinloom.runtime import pinned, scratch_folder
+from twinloom.runtime import pinned, scratch_folder, small_frame
 from twinloom.sources.tables import (
     load_tables,
     preview,
@@ -80,6 +80,66 @@ def noisy_pairs(spark, sf):
     )
 
 
+_TREE_COLUMNS = ("l_returnflag", "l_linestatus", "l_linenumber")
+
+
+def _tree_sql():
+    """Noisy counts of all pairs, their information, the two best pairs, and the noisy counts of that tree."""
+    label = {c: f"coalesce({c}::VARCHAR, '{MISSING}')" for c in _TREE_COLUMNS}
+    lists = {c: f"(SELECT DISTINCT {c}::VARCHAR AS v FROM lineitem WHERE {c} IS NOT NULL UNION ALL SELECT '{MISSING}')" for c in _TREE_COLUMNS}
+
+    def counted(given, cell):
+        if given is None:
+            return f"""SELECT '' AS given, f.v AS cell, (SELECT count(*) FROM lineitem WHERE {label[cell]} = f.v) AS n
+                       FROM {lists[cell]} f"""
+        return f"""SELECT f.v AS given, s.v AS cell, coalesce(c.n, 0) AS n FROM {lists[given]} f CROSS JOIN {lists[cell]} s
+                   LEFT JOIN (SELECT {label[given]} AS g, {label[cell]} AS e, count(*) AS n FROM lineitem GROUP BY 1, 2) c
+                   ON c.g = f.v AND c.e = s.v"""
+
+    pairs = [(0, 1), (0, 2), (1, 2)]
+    first, all_pairs = len(_TREE_COLUMNS), " UNION ALL ".join(
+        f"SELECT {3 + i} AS link, {a} AS a, {b} AS b, * FROM ({counted(_TREE_COLUMNS[a], _TREE_COLUMNS[b])})"
+        for i, (a, b) in enumerate(pairs)
+    )
+    key = sql_key(_SEED, "link", "given", "cell")
+    # the tree as links (parent, child) by which pair is left out
+    trees = {(1, 2): [(None, 0), (0, 1), (0, 2)], (0, 2): [(None, 0), (0, 1), (1, 2)], (0, 1): [(None, 0), (0, 2), (2, 1)]}
+    name = lambda i: None if i is None else _TREE_COLUMNS[i]
+    edges = " UNION ALL ".join(
+        f"SELECT {a} AS a, {b} AS b, {k} AS link, '{name(p) or ''}' AS parent, '{name(c)}' AS child, * FROM ({counted(name(p), name(c))})"
+        for (a, b), links in trees.items()
+        for k, (p, c) in enumerate(links)
+    )
+    return f"""
+    pairs AS ({all_pairs}),
+    chosen AS (SELECT *, greatest(n + {sql_geometric(f"{first / 0.5}e0", key)}, 0e0) AS noisy FROM pairs),
+    p AS (SELECT a, b, given, cell, noisy / sum(noisy) OVER (PARTITION BY link) AS p FROM chosen WHERE noisy > {3 * first / 0.5}e0),
+    m AS (SELECT a, b, p * ln(p / (sum(p) OVER (PARTITION BY a, b, given) * sum(p) OVER (PARTITION BY a, b, cell))) AS gain FROM p),
+    i AS (SELECT a, b, sum(gain) AS information FROM m GROUP BY a, b),
+    out AS (SELECT a, b FROM i ORDER BY information, a DESC, b DESC LIMIT 1),
+    edges AS ({edges})
+    SELECT link, parent, child, given, cell, n, round(greatest(n + {sql_geometric(f"{first / 1.0}e0", key)}, 0e0), 6) AS noisy
+    FROM edges JOIN out USING (a, b)"""
+
+
+@query("tree_pairs", f"WITH {_tree_sql()}")
+def tree_pairs(spark, sf):
+    """A tree over three columns, chosen for half a unit of budget and released for one."""
+    li = load(spark, sf, "lineitem")["lineitem"]
+    chain = _flag_chain(li, "l_returnflag", "l_linestatus")
+    numbers = [str(r.value) for r in category_domain(li, "l_linenumber").collect()]
+    chain.append(("l_linenumber", Domain("category", tuple(numbers))))
+    found = marginals.noisy_dependence(li, chain, 0.5, _DRAWS).collect()
+    tree = marginals.spanning_tree(3, [(r.given_column, r.cell_column, r.information) for r in found])
+    ordered, parents = marginals.in_order(chain, tree)
+    names = [(i, ordered[p][0] if p >= 0 else "", c) for i, ((c, _), p) in enumerate(zip(ordered, parents))]
+    edges = F.broadcast(small_frame(spark, names, "link int, parent string, child string"))  # a row per column
+    noisy = marginals.noisy_chain(li, ordered, _EPS, _DRAWS, links=marginals.links_of(parents))
+    return noisy.join(edges, "link").select(
+        "link", "parent", "child", "given", "cell", "n", F.round("noisy", 6).alias("noisy")
+    )
+
+
 @query(
     "stable_histogram",
     f"""WITH counts AS (SELECT coalesce(p_name, '{MISSING}') AS cell, count(*) AS n FROM part GROUP BY 1),
