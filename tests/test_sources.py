@@ -1,8 +1,22 @@
+import csv
+import random
+
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import twinloom as tl
 from twinloom.runtime import small_frame
-from twinloom.sources.tables import bundle_name, load_tables, read_csv_bundle, write_csv_bundle
+from twinloom.sources.quoted import read_quoted_csv
+from twinloom.sources.tables import (
+    CSV,
+    bundle_name,
+    load_tables,
+    publish_tables,
+    published_tables,
+    read_csv_bundle,
+    write_csv_bundle,
+)
 
 
 def test_load_tables(spark, tmp_path):
@@ -69,3 +83,61 @@ def test_the_reader_understands_the_writer(spark, tmp_path):
     assert sorted(map(tuple, read_csv_bundle(spark, str(tmp_path), "Notes", df.schema).collect())) == want
     (table,) = load_tables(spark, [path]).values()
     assert sorted(map(tuple, table.collect())) == want
+
+
+def _texts(rng, n):
+    def text():
+        return "".join(rng.choice(["a", "b", " ", '"', "\n", ",", "é", "\r\n", "'"]) for _ in range(rng.randint(0, 30)))
+
+    return [(i, text(), rng.random(), text() or None) for i in range(n)]
+
+
+def test_quoted_lines_are_read_by_many_tasks(spark, tmp_path):
+    """As multiLine reads them, whatever the ranges; one row is longer than many ranges."""
+    rng = random.Random(4)
+    rows = [*_texts(rng, 600), (9999, 'x"\n' * 2000, 1.0, "end"), *_texts(rng, 300)]
+    path = str(tmp_path / "t.csv")
+    with open(path, "w", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(["id", "a", "v", "b"])
+        out.writerows(rows)
+    schema = T._parse_datatype_string("id bigint, a string, v double, b string")
+    want = sorted(map(tuple, spark.read.schema(schema).options(**CSV).option("multiLine", True).csv(path).collect()), key=str)
+    assert len(want) == 901
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "700"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = read_quoted_csv(spark, path, schema, CSV)
+            assert sorted(map(tuple, got.collect()), key=str) == want
+        assert spark.read.text(path).rdd.getNumPartitions() > 50
+        typed = read_quoted_csv(spark, path, None, CSV)
+        assert [t for _, t in typed.dtypes] == ["int", "string", "double", "string"] and typed.count() == 901
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_csv_without_rows(spark, tmp_path):
+    (tmp_path / "none.csv").write_text("a,b\n")
+    (tmp_path / "blank.csv").write_text("")
+    schema = T._parse_datatype_string("a int, b string")
+    assert read_quoted_csv(spark, str(tmp_path / "none.csv"), schema, CSV).collect() == []
+    assert read_quoted_csv(spark, str(tmp_path / "blank.csv"), None, CSV).columns == []
+
+
+def test_a_failure_between_tables_leaves_the_old_set(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    assert published_tables(spark, folder) == {}
+    old = {"A": spark.range(3), "B": spark.range(5)}
+    assert publish_tables(old, ["A", "B"], folder) == 1
+    broken = {"A": spark.range(30), "B": spark.range(5).select(F.raise_error(F.lit("lost")).alias("id"))}
+    with pytest.raises(Exception, match="lost"):
+        publish_tables(broken, ["A", "B"], folder)
+    assert {t: df.count() for t, df in published_tables(spark, folder).items()} == {"a": 3, "b": 5}
+    assert publish_tables({"A": spark.range(7)}, ["A", "B"], folder) == 2
+    assert {t: df.count() for t, df in published_tables(spark, folder).items()} == {"a": 7}
+    assert {t: df.count() for t, df in published_tables(spark, folder, 1).items()} == {"a": 3, "b": 5}
+    with pytest.raises(ValueError):
+        published_tables(spark, folder, 9)

@@ -7,7 +7,14 @@ from twinloom.plans.discover import Discovery, discover
 from twinloom.plans.evaluate import evaluate
 from twinloom.plans.sweep import allocate, epsilon_sweep, run_pipeline
 from twinloom.plans.synthesize import Synthesis, synthesize
-from twinloom.sources.tables import load_tables, preview, save_tables, write_csv_bundle
+from twinloom.sources.tables import (
+    load_tables,
+    preview,
+    publish_tables,
+    published_tables,
+    save_tables,
+    write_csv_bundle,
+)
 
 __all__ = [
     "Discovery",
@@ -21,6 +28,8 @@ __all__ = [
     "evaluate",
     "load_tables",
     "preview",
+    "publish_tables",
+    "published_tables",
     "run_pipeline",
     "save_tables",
     "synthesize",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinloom.functions.hashing import Draws
+from twinloom.functions.values import union_all
 from twinloom.operators import ledger, marginals, sampling
 from twinloom.operators.graph import parents_of
 from twinloom.operators.integrity import link_report
@@ -17,6 +18,8 @@ from twinloom.runtime import pinned, scratch_folder, small_frame
 from twinloom.sources.tables import (
     load_tables,
     preview,
+    publish_tables,
+    published_tables,
     read_csv_bundle,
     save_tables,
     write_csv_bundle,
@@ -401,6 +404,29 @@ def save_tables_query(spark, sf):
     return out
 
 
+@query(
+    "publish_tables",
+    """SELECT s.number, s."table", s.n FROM (
+         SELECT 1 AS number, 'customer' AS "table", count(*) AS n FROM customer
+         UNION ALL SELECT 1, 'orders', count(*) FROM orders
+         UNION ALL SELECT 2, 'orders', count(*) FROM orders WHERE o_totalprice > 100000
+         UNION ALL SELECT 2, 'lineitem', count(*) FROM lineitem) s""",
+)
+def publish_tables_query(spark, sf):
+    """Two sets published one after the other; both are readable whole."""
+    tables = load(spark, sf, *_CHAIN_TABLES)
+    folder = scratch_folder(spark)
+    publish_tables(tables, ["customer", "orders"], folder)
+    large = {"orders": tables["orders"].where("o_totalprice > 100000"), "lineitem": tables["lineitem"]}
+    publish_tables(large, ["orders", "lineitem"], folder)
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(number).alias("number"), F.lit(t).alias("table"), "n")
+        for number in (1, 2)
+        for t, df in published_tables(spark, folder, number).items()
+    ]
+    return union_all(parts)
+
+
 @query(
     "preview",
     "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10",
