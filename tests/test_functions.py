@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,5 +69,25 @@ def test_draws_are_uniform_and_repeatable(spark, draws):
     assert abs(r.l - 2.0 * 2**0.5) < 0.15 and abs(r.g - 3.0) < 0.1 and abs(r.gm) < 0.1
 
 
+@pytest.mark.parametrize("variance", [0.3, 2.0, 150.0])
+def test_discrete_gaussian_has_its_moments(spark, variance):
+    draws = Draws(11)
+    df = spark.range(8000).select(
+        draws.discrete_gaussian(variance, F.col("id")).alias("x"), draws.discrete_gaussian(variance, F.col("id")).alias("again")
+    )
+    rows = [(r.x, r.again) for r in df.collect()]
+    assert all(a == b for a, b in rows)
+    values = np.array([a for a, _ in rows])
+    grid = np.arange(-200, 201)
+    p = np.exp(-(grid**2) / (2 * variance))
+    p /= p.sum()
+    spread = (p * grid**2).sum()
+    assert abs(values.mean()) < 4 * (spread / 8000) ** 0.5
+    assert abs(values.var() / spread - 1) < 0.08
+    for x in (-1, 0, 1, 2):
+        share = p[grid == x][0]
+        assert abs((values == x).mean() - share) < 4.5 * (share / 8000) ** 0.5 + 1e-3
+
+
 def test_private_draws_differ():
     assert Draws.private().secret != Draws.private().secret

@@ -18,6 +18,9 @@ _DIGITS = 13
 _SPAN = float(2**52)
 
 
+TRIES = 64  # of the rejection sampler
+
+
 @dataclass(frozen=True)
 class Draws:
     """A stream of keyed random draws.
@@ -85,6 +88,24 @@ class Draws:
         )
         return up - down
 
+    def discrete_gaussian(self, variance: float, *key: Column, tries: int = TRIES) -> Column:
+        """Whole numbers with probability proportional to exp(-x^2 / (2 variance)), from draws of 52 bits.
+
+        By rejection from two-sided geometric numbers. Try number t has a key of its own, and the
+        first accepted one counts, so the same key gives the same number again. A try is
+        accepted with a chance above 0.4; that none of ``tries`` is (and 0 comes out) has a chance below 1e-14.
+        """
+        width = math.floor(math.sqrt(variance)) + 1
+
+        def attempt(t: Column) -> Column:
+            number = self.geometric(float(width), *key, F.lit("try"), t)
+            gap = F.abs(number) - F.lit(variance / width)
+            chance = F.exp(-(gap * gap) / F.lit(2.0 * variance))
+            return F.struct(number.alias("x"), (self.uniform(*key, F.lit("accept"), t) < chance).alias("ok"))
+
+        every = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), attempt)
+        return F.coalesce(F.get(F.filter(every, lambda a: a["ok"]), F.lit(0))["x"], F.lit(0).cast("bigint"))
+
     def gaussian(self, scale: Column | float, *key: Column) -> Column:
         width = scale if isinstance(scale, Column) else F.lit(float(scale))
         radius = F.sqrt(F.lit(-2.0) * F.log(self.uniform(*key)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinloom.functions.hashing import Draws
+from twinloom.functions.hashing import TRIES, Draws
 from twinloom.functions.values import union_all
 from twinloom.operators import ledger, marginals, sampling
 from twinloom.operators.graph import parents_of
@@ -160,6 +160,35 @@ def stable_histogram(spark, sf):
     ).select("cell", "n", F.round("noisy", 6).alias("noisy"), F.round("share", 9).alias("share"))
 
 
+def _gaussian_sql(variance: float, *key: str) -> str:
+    """The discrete Gaussian draw, as DuckDB computes it."""
+    width = int(variance**0.5) + 1
+    number = sql_geometric(f"{width}e0", sql_key(_SEED, *key, "'try'", "t"))
+    accept = sql_uniform(sql_key(_SEED, *key, "'accept'", "t"))
+    gap = f"(abs(x) - {variance / width!r}::DOUBLE)"
+    tried = f"list_transform(range({TRIES}), lambda t: struct_pack(x := {number}, u := {accept}))"
+    ok = f"a.u < exp(-({gap.replace('x)', 'a.x)')} * {gap.replace('x)', 'a.x)')}) / {2 * variance!r}::DOUBLE)"
+    return f"coalesce(list_filter({tried}, lambda a: {ok})[1].x, 0)"
+
+
+_RHO = ledger.rho_of(_EPS, marginals.DELTA)
+
+
+@query(
+    "gaussian_histogram",
+    f"""WITH counts AS (
+          SELECT 0 AS link, '' AS given, f.v AS cell,
+                 (SELECT count(*) FROM lineitem WHERE coalesce(l_returnflag, '{MISSING}') = f.v) AS n FROM {_FLAGS} f)
+        SELECT cell, n, round(greatest(n + {_gaussian_sql(1 / (2 * _RHO), "link", "given", "cell")}, 0)::DOUBLE, 6) AS noisy FROM counts""",
+)
+def gaussian_histogram(spark, sf):
+    """Discrete Gaussian noise whose rho is what (1, 1e-6) allows."""
+    li = load(spark, sf, "lineitem")["lineitem"]
+    chain = _flag_chain(li, "l_returnflag")
+    noisy = marginals.noisy_chain(li, chain, _EPS, _DRAWS, mechanism="gaussian")
+    return noisy.select("cell", "n", F.round("noisy", 6).alias("noisy"))
+
+
 def _conditionals_sql():
     return f"""{_noisy_sql("2e0")},
     kept AS (SELECT * FROM noisy WHERE cell <> '{MISSING}' AND given <> '{MISSING}' AND noisy > 0),
