@@ -234,6 +234,17 @@ def fanout(spark, sf):
     return graph.fanout(spark, table_graph(spark, sf)).select("table", "fanout")
 
 
+@query(
+    "edge_levels",
+    f"""WITH RECURSIVE {_CANDIDATES} SELECT "table", level, fanout, false AS cyclic FROM weights""",
+)
+def edge_levels(spark, sf):
+    """Levels and fan-out by a recursive query over the discovered links."""
+    links = [(r["parent"], r["child"]) for r in accepted(spark, sf) if r["kept"]]
+    edges = small_frame(spark, links, "parent string, child string")
+    return graph.edge_levels(edges, small_frame(spark, [(t,) for t in TABLES], "table string"))
+
+
 @query(
     "allocation",
     f"""WITH RECURSIVE {_CANDIDATES}
