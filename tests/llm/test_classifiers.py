@@ -42,6 +42,25 @@ def test_languages_held_out(spark):
     assert string_kernel.identify(docs.limit(0), model).collect() == []
 
 
+def test_texts_of_megabytes_keep_their_language(spark):
+    """Varied long texts fill no row of bits: they are scored by segments."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = string_kernel.fit(docs.where("doc_id % 4 <> 2"))
+    rng = random.Random(2)
+    rows = []
+    for lang in model.languages:
+        texts = [r.text for r in docs.where((docs.lang == lang) & docs.text.isNotNull()).select("text").collect()]
+        rng.shuffle(texts)
+        prose = "\n".join(texts)[:2_000_000]
+        ids = " ".join(f"{rng.getrandbits(64):x}-{rng.randrange(10**9)}" for _ in range(20_000))
+        rows += [(lang, prose), (lang, f"{prose} {ids}")]
+    found = {r.doc_id: r for r in string_kernel.identify(frame(spark, [(k, t) for k, (_, t) in enumerate(rows)]), model).collect()}
+    assert [found[k].lang_pred for k in range(len(rows))] == [lang for lang, _ in rows]
+    assert min(found[k].score for k in range(0, len(rows), 2)) > 0.9
+    cut = string_kernel.segments(b"x" * 10_001, 3)
+    assert len(cut) == 3 and sum(map(len, cut)) == 10_001 + 3 * 2 and string_kernel.segments(b"", 3) == [b""]
+
+
 def test_nothing_learned(spark):
     model = string_kernel.fit(spark.createDataFrame([(1, "text", None), (2, None, "aa")], "doc_id long, text string, lang string"))
     assert [r.lang_pred for r in string_kernel.identify(frame(spark, [(1, "text")]), model).collect()] == ["und"]

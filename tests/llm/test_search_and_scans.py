@@ -83,6 +83,23 @@ def test_phrases_like_brute_force(spark):
     assert scan_licenses(frame(spark, [])).collect() == []
 
 
+def test_votes_count_once_and_in_order(spark):
+    whole = "this source code form is subject to the terms of the mozilla public license"
+    words = whole.split()
+    rows = [
+        "licensed under " * 5,  # one pair five times
+        "this source form code " * 9,
+        whole,
+        whole.replace("subject", "hereby subject"),
+        " ".join(words[:6] + words[7:]),
+        " ".join(w for k in range(len(words) - 2, -1, -2) for w in words[k : k + 2]),  # all words, backwards in pairs
+        "version 2 0 " * 30 + "the apache " * 30,
+    ]
+    got = {r.doc_id: r for r in scan_licenses(frame(spark, list(enumerate(rows)))).collect()}
+    assert [got[k].labels for k in range(len(rows))] == ["", "", "mpl", "mpl", "mpl", "", ""]
+    assert got[2].score == 1.0 and 0.6 <= got[3].score < 1.0 and got[0].score == 0.0
+
+
 def test_scan_runs_in_the_engine(spark):
     plan = scan_licenses(frame(spark, corpus(2, 5)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -7,7 +7,7 @@ import pytest
 
 from cases import corpus, frame, with_edges
 from twinloom.llm.bpe_index import Vocabulary, encode_and_decode, encode_pieces
-from twinloom.llm.vector_packing import Capacity, best_fit, pack_documents, token_pieces
+from twinloom.llm.vector_packing import Capacity, Tokenizer, best_fit, pack_documents, token_pieces
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -46,6 +46,19 @@ def test_index_on_random_pieces():
     assert encode_pieces(vocabulary, []) == []
 
 
+def test_ids_of_random_strings_like_the_library():
+    """Letters whose lower case has marks, marks, joiners, scripts and punctuation, in any order."""
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    rng = random.Random(7)
+    letters = ["a", "B", "é", "İ", "I", "ı", "ß", "ẞ", "Σ", "ǅ", "ŉ", "ﬁ", "Ꭰ", "日", "ก", "ா", "\u0307", "\u0301", "\u200d", "\u00ad", "🎉", "٣", "7", "K", "Å"]
+    signs = list(".,;:!?-_'\"()[]/@#&*+=~`$%^|<>\\") + ["…", "«", "—", " ", " ", "\n", "\u00a0"]
+    texts = ["İ-", "İ_", "İ,", "İ?", "Das ist İ-Test İ."]
+    texts += ["".join(rng.choice(letters if rng.random() < 0.6 else signs) for _ in range(rng.randint(1, 14))) for _ in range(12_000)]
+    mine = Tokenizer(WORDS).ids(texts)
+    differ = [t for t, got in zip(texts, mine) if np.frombuffer(got, "<u4").tolist() != library.encode(t, add_special_tokens=False).ids]
+    assert differ == []
+
+
 def test_pieces_like_the_library(spark):
     library = tokenizers.Tokenizer.from_file(WORDS)
     texts = defaultdict(set)

@@ -4,7 +4,8 @@ Templates are cut into rolling word pairs; so is every text. A join of the hashe
 (place in the text, template, place in the template). The difference of the two places is the
 diagonal: words of one copy of a template vote for the same one. Votes are counted per
 diagonal, neighbouring diagonals (a word inserted or left out) are merged, and the spans found
-are verified: a phrase must be there word for word, a longer template with enough of its pairs.
+are verified: a phrase must be there word for word, a longer template with enough of its pairs,
+each counted once and in the template's order.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SENTENCES = {
 }
 
 WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what stands between words
-SLACK = 2  # words by which diagonals of one copy may differ
+SLACK = 2  # words by which the diagonals of one copy may differ at most
 COVER = 0.6  # share of a sentence's pairs that makes a match
 
 
@@ -73,6 +74,18 @@ def template_pairs(spark, phrases: dict[str, str], sentences: dict[str, str]) ->
     ).where("at < pairs")
 
 
+def _in_order(run: F.Column) -> F.Column:
+    """How many pairs of a template (sorted by their place in it) follow each other in the text."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"), F.lit(-1).alias("place"))
+
+    def step(held: F.Column, pair: F.Column) -> F.Column:
+        later = (pair["at"] > held["at"]) & (pair["place"] > held["place"])
+        took = F.struct((held["n"] + 1).alias("n"), pair["at"].alias("at"), pair["place"].alias("place"))
+        return F.when(later, took).otherwise(held)
+
+    return F.aggregate(run, start, step)["n"]
+
+
 def scan_licenses(
     docs: DataFrame, phrases: dict[str, str] = PHRASES, sentences: dict[str, str] = SENTENCES, cover: float = COVER
 ) -> DataFrame:
@@ -110,7 +123,8 @@ def scan_licenses(
     votes = stored(
         hits.where(real)
         .groupBy(*text, "template", "label", "exact", "pairs", "diagonal")
-        .agg(F.countDistinct("at").alias("votes"))
+        .agg(F.collect_set("at").alias("ats"))  # at most the pairs of the template
+        .withColumn("votes", F.size("ats"))
     )
     places = votes.where(F.col("exact") & (F.col("votes") == F.col("pairs")))
     places = places.groupBy(*text).agg(
@@ -119,15 +133,13 @@ def scan_licenses(
         F.max("diagonal").cast("long").alias("last_word"),
         F.collect_set("label").alias("base"),
     )
-    # Neighbouring diagonals of a sentence in a text are one copy with words put in or left out.
-    row = Window.partitionBy(*text, "template").orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(row) > SLACK).cast("int"), F.lit(1))
+    # Diagonals of a sentence that differ by at most SLACK are one copy with words put in or left out.
+    near = Window.partitionBy(*text, "template").orderBy("diagonal").rangeBetween(0, SLACK)
+    places_of = F.transform("ats", lambda a: F.struct(a.alias("at"), (a + F.col("diagonal")).alias("place")))
     copies = (
         votes.where(~F.col("exact"))
-        .withColumn("apart", apart)
-        .withColumn("copy", F.sum("apart").over(row))
-        .groupBy(*text, "template", "label", "pairs", "copy")
-        .agg(F.least(F.lit(1.0), F.sum("votes") / F.first("pairs")).alias("share"))
+        .withColumn("run", F.array_sort(F.flatten(F.collect_list(places_of).over(near))))
+        .withColumn("share", _in_order(F.col("run")) / F.col("pairs"))
         .where(F.col("share") >= cover)
         .groupBy(*text)
         .agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))

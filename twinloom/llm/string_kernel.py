@@ -7,12 +7,16 @@ the landmarks into features, on which one ridge regression per language (one aga
 rest) is solved. Scoring multiplies batches of texts with the landmarks, and the kernel
 values with the weights.
 
-The fit reads a bounded sample of labelled rows (PER_LANGUAGE per language, whole texts);
-only their bits come to the driver.
+A long text has nearly all n-grams of any language, so texts are cut in equal segments of at most
+SEGMENT bytes over their whole length, and the regression values of the segments are averaged.
+
+The fit reads a bounded sample of labelled rows (PER_LANGUAGE per language; of a long text one
+segment); only their bits come to the driver.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,6 +32,7 @@ from twinloom.llm.common import SEGMENT_BYTES, as_bytes, documents, kept_fields,
 
 ORDERS = (1, 2, 3, 4)  # bytes per n-gram
 BITS = 1 << 14
+SEGMENT = 1 << 12  # bytes of a text that are compared at once; they fill a small part of the bits
 PER_LANGUAGE = 250  # training texts per language
 LANDMARKS = 32  # per language
 MOST_LANDMARKS = 512
@@ -66,6 +71,13 @@ def presence(texts: list[bytes], bits: int, orders: tuple[int, ...]) -> np.ndarr
     return rows
 
 
+def segments(text: bytes, overlap: int) -> list[bytes]:
+    """Equal pieces of at most SEGMENT bytes, which overlap by the longest n-gram."""
+    n = max(1, -(-len(text) // SEGMENT))
+    step = max(1, -(-len(text) // n))
+    return [text[at : at + step + overlap] for at in range(0, max(1, len(text)), step)]
+
+
 def _scaled(rows: np.ndarray) -> np.ndarray:
     """Rows over the root of their number of bits, so that a product is the kernel."""
     size = np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.float32), 1))
@@ -101,7 +113,9 @@ def _row_bits(bits: int, orders: tuple[int, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = np.packbits(presence(as_bytes(batch.column("text")), bits, orders), axis=1)
+            cut = [segments(t, max(orders) - 1) for t in as_bytes(batch.column("text"))]
+            some = [c[zlib.crc32(c[0]) % len(c)] for c in cut]  # any, but always the same
+            packed = np.packbits(presence(some, bits, orders), axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("language"), pa.array([r.tobytes() for r in packed], type=pa.binary())], schema=schema
             )
@@ -149,10 +163,27 @@ _RESULTS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructFie
 
 
 def scores(model: Model, texts: list[bytes], orders: tuple[int, ...]) -> np.ndarray:
-    """Softmax of the regression values: texts by languages."""
+    """Softmax of the regression values, averaged over the segments of a text: texts by languages."""
     bits = model.landmarks.shape[1]
-    kernel = _scaled(presence(texts, bits, orders)) @ model.landmarks.T
-    value = kernel.astype(np.float64) @ model.weights[:-1] + model.weights[-1]
+    value = np.zeros((len(texts), model.weights.shape[1]))
+    count = np.zeros(len(texts))
+    held: list[tuple[int, bytes]] = []
+
+    def multiply() -> None:
+        owner = np.array([k for k, _ in held], dtype=np.int64)
+        kernel = _scaled(presence([s for _, s in held], bits, orders)) @ model.landmarks.T
+        np.add.at(value, owner, kernel.astype(np.float64) @ model.weights[:-1] + model.weights[-1])
+        np.add.at(count, owner, 1.0)
+        held.clear()
+
+    for k, text in enumerate(texts):
+        for segment in segments(text, max(orders) - 1):
+            held.append((k, segment))
+            if len(held) == ROWS:
+                multiply()
+    if held:
+        multiply()
+    value /= np.maximum(count, 1.0)[:, None]
     value = np.exp(SHARPNESS * (value - value.max(axis=1, keepdims=True)))
     return value / value.sum(axis=1, keepdims=True)
 

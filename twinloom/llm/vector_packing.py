@@ -80,7 +80,8 @@ class Tokenizer:
         if max(chunk) < "\u0180" and "\u0130" not in chunk:  # letters whose lower case is beyond doubt
             chunk = chunk.lower()
         word = chunk.rstrip(string.punctuation)
-        if word != chunk and word and word[-1].isalpha():
+        # a sign stays with a letter whose lower case ends in a mark
+        if word != chunk and word and word[-1].isalpha() and word[-1].lower()[-1].isalpha():
             return [word, chunk[len(word) :]]
         return [chunk]
 
