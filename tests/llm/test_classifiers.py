@@ -99,6 +99,11 @@ def test_clauses_of_a_text():
     assert grammar.clauses("loweischaft, grobian. x") == [1] and grammar.clauses("grobian; loweien") == [1, 1]
     assert grammar.clauses("grobians grobianic") == []
     assert grammar.clauses("not now but later a grobian") == [1]  # too far for the negation
+    assert grammar.clauses("He said: you grobian") == [1 | 4 | 8]  # reported across a colon
+    assert grammar.clauses("He said so. You grobian") == [1 | 4]
+    weights = [toxicity_grammar.prior(p) for p in range(toxicity_grammar.PATTERNS)]
+    assert toxicity_grammar.text_score(grammar.clauses("You are not an idiot."), weights, 0.0) < toxicity_grammar.THRESHOLD
+    assert toxicity_grammar.text_score(grammar.clauses("You are an idiot."), weights, 0.0) > toxicity_grammar.THRESHOLD
 
 
 def test_toxic_held_out(spark):
