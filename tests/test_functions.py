@@ -50,7 +50,7 @@ def test_streams_tell_tables_apart():
     assert len(streams) == 6
 
 
-@pytest.mark.parametrize("draws", [Draws(7), Draws.private(7), Draws(7, fast=True)])
+@pytest.mark.parametrize("draws", [Draws(7), Draws.with_secret(7), Draws(7, fast=True)])
 def test_draws_are_uniform_and_repeatable(spark, draws):
     df = spark.range(20000).select(
         draws.uniform(F.lit("a"), F.col("id")).alias("u"),
@@ -89,5 +89,5 @@ def test_discrete_gaussian_has_its_moments(spark, variance):
         assert abs((values == x).mean() - share) < 4.5 * (share / 8000) ** 0.5 + 1e-3
 
 
-def test_private_draws_differ():
-    assert Draws.private().secret != Draws.private().secret
+def test_secret_draws_differ():
+    assert Draws.with_secret().secret != Draws.with_secret().secret

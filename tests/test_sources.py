@@ -66,7 +66,7 @@ def test_whole_run_at_two_budgets(spark):
         (F.col("id") * 7 % 97 + F.col("id") % 2 * 50).cast("double").alias("amount"),
     )
     tables = {"Shops": shops, "Sales": sales}
-    out = tl.epsilon_sweep(tables, [2.0, 20.0], private=False, trees=10, depth=4).collect()
+    out = tl.epsilon_sweep(tables, [2.0, 20.0], secret_noise=False, trees=10, depth=4).collect()
     assert [r.eps for r in out] == [2.0, 20.0]
     assert {(r.target_table, r.target_col) for r in out} == {("Sales", "is_priority")}
     assert out[1].avg_ks < 0.2 and out[1].tstr_auc > 0.6

@@ -1,4 +1,4 @@
-"""Profiling, private synthesis and fidelity evaluation of related tables on Spark."""
+"""Profiling, noisy synthesis and fidelity evaluation of related tables on Spark."""
 
 from twinloom.functions.hashing import Draws
 from twinloom.functions.naming import KeyNames

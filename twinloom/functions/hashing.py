@@ -26,7 +26,7 @@ class Draws:
     """A stream of keyed random draws.
 
     ``Draws(seed)`` is public and repeatable (md5): for tests and for sampling
-    decisions that need no secrecy. ``Draws.private()`` keys a SHA-256 stream
+    decisions that need no secrecy. ``Draws.with_secret()`` keys a SHA-256 stream
     with operating-system entropy: use it for noise on released counts. The key
     appears in query plans, so event logs need the same care as the data.
 
@@ -41,7 +41,7 @@ class Draws:
     table: str | None = None
 
     @staticmethod
-    def private(seed: int = 42) -> "Draws":
+    def with_secret(seed: int = 42) -> "Draws":
         return Draws(seed, secrets.token_hex(32))
 
     def for_table(self, table: str) -> "Draws":

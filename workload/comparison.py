@@ -630,4 +630,4 @@ def sweep(spark, sf):
     found = Discovery(
         _CHAIN_KEYS, _CHAIN_RELS, [], schema_def, list(_CHAIN_TABLES), sketch_columns(tables), []
     )
-    return epsilon_sweep(tables, [2.0, 20.0], KEYS, found, private=False).drop("runtime_sec")
+    return epsilon_sweep(tables, [2.0, 20.0], KEYS, found, secret_noise=False).drop("runtime_sec")

@@ -308,7 +308,7 @@ def _synthesis(spark, sf):
         num_rows=0,
         epsilon=6.0,
         table_row_counts=counts,
-        private=False,
+        secret_noise=False,
     )
 
 
@@ -349,7 +349,7 @@ def synthetic_text(spark, sf):
     """Which real texts of a column without a declared list come out of a synthesis."""
     real = load(spark, sf, "part")["part"].select("p_partkey", "p_name")
     made = synthesize(
-        {"part": real}, {"part": []}, {"part": "p_partkey"}, [], 20 * real.count(), 0.5, private=False
+        {"part": real}, {"part": []}, {"part": "p_partkey"}, [], 20 * real.count(), 0.5, secret_noise=False
     ).tables["part"]
     out = made.select(F.col("p_name").alias("value")).distinct().withColumn("released", F.lit(True))
     values = real.where(F.col("p_name").isNotNull()).select(F.col("p_name").alias("value")).distinct()
