@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,25 @@ class Forest:
         )
 
 
+def unite_tile(forest: Forest, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> None:
+    """Join what a tile links; each row and column of the tile is looked at once."""
+    rows, cols = linked.any(axis=1), linked.any(axis=0)
+    for start in np.flatnonzero(rows).tolist():
+        if not rows[start]:
+            continue
+        first, rows[start] = int(left[start]), False
+        at = np.array([start])
+        while len(at):
+            near = np.flatnonzero(linked[at].any(axis=0) & cols)
+            cols[near] = False
+            for k in near.tolist():
+                forest.join(first, int(right[k]))
+            at = np.flatnonzero(linked[:, near].any(axis=1) & rows)
+            rows[at] = False
+            for k in at.tolist():
+                forest.join(first, int(left[k]))
+
+
 @tidy
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's links as a star around the smallest member of each of its groups."""

@@ -13,9 +13,11 @@ Candidates, within a region:
     order.
 Candidates whose signatures differ too much are dropped (by five standard deviations below
 the threshold). The others are confirmed on their full sets: each set travels once to each
-pair's hub, hubs in chunks. A second round takes all pairs that share a region of the
+pair's hub, hubs in chunks. A second round looks at all pairs that share a region of the
 first depth, however crowded, but are not yet in one component: crowded regions in tiles of
-signatures. Components are those of the confirmed links.
+signatures. No pair leaves a tile: the classes with a fitting partner there are written once
+per tile, their sets follow them once, and the tile counts all its intersections from
+postings of the shingles. Components are those of the confirmed links.
 """
 
 from __future__ import annotations
@@ -30,17 +32,17 @@ from pyspark.sql import functions as F
 from twinloom.llm.common import (
     as_bytes,
     documents,
+    in_larger_batches,
     mix,
     odd_numbers,
     partitions,
-    run_starts,
     sorted_groups,
     stored,
     text_segments,
     tidy,
     word_hashes,
 )
-from twinloom.llm.components import connected_components
+from twinloom.llm.components import Forest, connected_components, unite_tile
 
 SHINGLE = 5
 TREES = 24
@@ -52,6 +54,7 @@ SMALL_REGION = 24  # classes that are compared pair by pair
 TILE = 1024  # classes on a side of a tile of signatures
 DEVIATIONS = 5.0
 CHUNK = 128  # sets compared with one copy of a hub's set
+TILE_SHINGLES = 1 << 21  # shingles on a side of a tile of sets (one set may be larger)
 
 
 # ---- sets and signatures -----------------------------------------------------------
@@ -206,79 +209,93 @@ def _region_pairs(percent: int):
         others.append(b[ok])
         return np.concatenate(hubs), np.concatenate(others)
 
-    @tidy
+    def pairs_in(region: pa.Table) -> pa.RecordBatch:
+        rep, central = region.column("rep").to_numpy(), region.column("central").to_numpy()
+        sig = np.frombuffer(b"".join(region.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
+        h, o = pairs_of(rep, sig, central, region.column("tree")[0].as_py())
+        ends = np.unique(np.sort(np.stack([rep[h], rep[o]], axis=1), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=schema)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        key, rep, central, tree = (table.column(c).to_numpy() for c in ("key", "rep", "central", "tree"))
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
-        order = np.lexsort((rep, key))
-        begin = run_starts(key[order])
-        found: set[tuple[int, int]] = set()
-        for b, e in zip(begin.tolist(), np.append(begin[1:], len(order)).tolist()):
-            mine = order[b:e]
-            if len(mine) < 2:
-                continue
-            h, o = pairs_of(rep[mine], sig[mine], central[mine], int(tree[mine[0]]))
-            found.update((x, y) if x < y else (y, x) for x, y in zip(rep[mine][h].tolist(), rep[mine][o].tolist()))
-        rows = list(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], schema=schema
-        )
+        yield from in_larger_batches(pairs_in(x) for x in sorted_groups(batches, ["key"]) if x.num_rows > 1)
 
     return run
 
 
+def set_blocks(places: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Places in runs of at most TILE_SHINGLES shingles; a larger set has a run of its own."""
+    if not len(places):
+        return []
+    before = np.cumsum(sizes[places]) - sizes[places]
+    return np.split(places, np.flatnonzero(np.diff(before // TILE_SHINGLES)) + 1)
+
+
 def _across(percent: int):
-    """Candidate pairs of tiles: all across components, each from the first tree it shares.
+    """Members of tiles of sets: classes of tiles of signatures that fit one of another component.
 
-    Rows are sorted by tile.
+    A pair counts in the first tree it shares. Rows are sorted by tile.
     """
     least = least_matches(percent)
-    schema = pa.schema([("hub", pa.int64()), ("other", pa.int64())])
+    schema = pa.schema([("ticket", pa.int64()), ("hub", pa.bool_()), ("rep", pa.int64())])
     heads = tree_orders()[:, : DEPTHS[0]].tolist()
     keys = ["key", "i", "j"]
+    odd = odd_numbers(5, 17)
 
-    def pairs_of(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def members_of(tile: pa.Table) -> Iterator[tuple[int, bool, np.ndarray]]:
+        """Ticket, side and classes of each tile of sets."""
         rep, group = tile.column("rep").to_numpy(), tile.column("group").to_numpy()
+        size = tile.column("n_shingles").to_numpy()
         sig = np.frombuffer(b"".join(tile.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
-        tree = tile.column("tree")[0].as_py()
         left = tile.column("side").to_numpy() == 0
         alone = tile.column("i")[0] == tile.column("j")[0]
         right = left if alone else ~left
         fit = group[left][:, None] != group[right][None, :]
         if not fit.any():
-            return rep[:0], rep[:0]
+            return
         a, b = sig[left].T.copy(), sig[right].T.copy()
         same = np.zeros(fit.shape, dtype=np.uint8)
         for h in range(HASHES):
             same += a[h][:, None] == b[h][None, :]
         fit &= same >= least
-        if alone:
-            fit &= np.tri(len(fit), k=-1, dtype=bool)
-        x, y = np.nonzero(fit)
-        first = np.ones(len(x), dtype=bool)
-        for head in heads[:tree]:  # an earlier tree has the pair in one region
-            first &= (a[head][:, x] != b[head][:, y]).any(axis=0)
-        return rep[left][x[first]], rep[right][y[first]]
+        for head in heads[: tile.column("tree")[0].as_py()]:  # an earlier tree has the pair in one region
+            if not fit.any():
+                return
+            earlier = np.ones(fit.shape, dtype=bool)
+            for h in head:
+                earlier &= a[h][:, None] == b[h][None, :]
+            fit &= ~earlier
+        ticket = np.zeros(1, dtype=np.uint64)
+        for c, k in zip(keys, odd):
+            ticket = mix((ticket ^ tile.column(c)[:1].to_numpy().astype(np.int64).view(np.uint64)) * k)
+        rows = set_blocks(np.flatnonzero(fit.any(axis=1)), size[left])
+        cols = set_blocks(np.flatnonzero(fit.any(axis=0)), size[right])
+        for x, these in enumerate(rows):
+            for y, those in enumerate(cols):
+                part = fit[np.ix_(these, those)]
+                if (alone and y > x) or not part.any():
+                    continue
+                name = int(mix(mix(ticket + odd[3:4] * np.uint64(x)) + odd[4:] * np.uint64(y)).view(np.int64)[0])
+                yield name, True, rep[left][these[part.any(axis=1)]]
+                if not (alone and x == y):  # a block with itself has one side
+                    yield name, False, rep[right][those[part.any(axis=0)]]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in sorted_groups(batches, keys):
-            hub, other = pairs_of(tile)
-            for at in range(0, len(hub), 1 << 16):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hub[at : at + (1 << 16)]), pa.array(other[at : at + (1 << 16)])], schema=schema
-                )
+        made = (
+            pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(reps), ticket)), pa.array(np.full(len(reps), side)), pa.array(reps)], schema=schema
+            )
+            for tile in sorted_groups(batches, keys)
+            for ticket, side, reps in members_of(tile)
+        )
+        yield from in_larger_batches(made)
 
     return run
 
 
-def pairs_across(entry: DataFrame, groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Candidates (hub, other) of different components in one region (tree, key, rep) of ``entry``.
+def tiles_across(entry: DataFrame, groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Members (ticket, hub, rep) of tiles of sets, for pairs of different components in one region of ``entry``.
 
     A component with more than TILE members of a region has blocks of its own, which do not
     meet each other; the other members share blocks by component.
@@ -301,7 +318,7 @@ def pairs_across(entry: DataFrame, groups: DataFrame, reps: DataFrame, percent:
     )
     upto = Window.partitionBy("key").orderBy("group")  # large components of a region only
     own = counts.where(large).select("key", "group", blocks.alias("width"), (F.sum(blocks).over(upto) - blocks).alias("begin"))
-    rows = grouped.join(regions, "key").join(own, ["key", "group"], "left").join(reps.select("rep", "signature"), "rep")
+    rows = grouped.join(regions, "key").join(own, ["key", "group"], "left").join(reps.select("rep", "signature", "n_shingles"), "rep")
     low = F.col("common") + F.col("begin")
     block = F.coalesce(low + F.pmod(F.xxhash64("rep"), F.col("width")), F.pmod(F.xxhash64("group"), F.col("common")))
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)))
@@ -314,10 +331,12 @@ def pairs_across(entry: DataFrame, groups: DataFrame, reps: DataFrame, percent:
         "tree",
         "rep",
         "group",
+        "n_shingles",
         "signature",
     )
     order = ["key", "i", "j"]
-    return rows.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_across(percent), "hub long, other long")
+    dealt = rows.repartition(n, *order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(_across(percent), "ticket long, hub boolean, rep long")
 
 
 def forest_regions(reps: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
@@ -380,41 +399,63 @@ def _ship_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def intersections(sets: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Size of the intersection of each set with all others, from postings of their items."""
+    items = np.concatenate(others)
+    owner = np.repeat(np.arange(len(others)), [len(o) for o in others])
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    for own in sets:
+        begin = np.searchsorted(items, own)
+        many = np.searchsorted(items, own, side="right") - begin
+        stop = np.cumsum(many)
+        at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - many), many)
+        yield np.bincount(owner[at], minlength=len(others))
+
+
+def _links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> np.ndarray:
+    sizes = np.array([len(x) for _, x in right])
+    linked = np.zeros((len(left), len(right)), dtype=bool)
+    for k, both in enumerate(intersections([x for _, x in left], [x for _, x in right])):
+        linked[k] = 100 * both >= percent * (len(left[k][1]) + sizes - both)
+    return linked
+
+
 def _confirm(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Links within each ticket: of its first side with the other, or of all where there is one side.
 
-    @tidy
+    Rows are sorted by ticket. Each ticket gives a tree of links for each of its components.
+    """
+
+    def edges(ticket: pa.Table) -> pa.RecordBatch:
+        sides: tuple[list, list] = ([], [])
+        for hub, rep, items in zip(*(ticket.column(c).to_pylist() for c in ("hub", "rep", "items"))):
+            sides[0 if hub else 1].append((rep, np.frombuffer(items, np.uint64)))
+        left, right = sides[0], sides[1] or sides[0]
+        forest = Forest()
+        if left:
+            ends = [np.array([rep for rep, _ in side], dtype=np.int64) for side in (left, right)]
+            unite_tile(forest, *ends, _links(left, right, percent))
+        return forest.edges()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for ticket, hub, rep, items in zip(*(batch.column(c).to_pylist() for c in ("ticket", "hub", "rep", "items"))):
-                rows.setdefault(ticket, []).append((hub, rep, items))
-        links: list[tuple[int, int]] = []
-        for members in rows.values():
-            hubs = [m for m in members if m[0]]
-            if not hubs:
-                continue
-            _, hub, blob = hubs[0]
-            base = np.frombuffer(blob, np.uint64)
-            for is_hub, rep, other in members:
-                if is_hub or not len(base):
-                    continue
-                items = np.frombuffer(other, np.uint64)
-                at = np.minimum(np.searchsorted(base, items), len(base) - 1)
-                both = int((base[at] == items).sum())
-                if 100 * both >= percent * (len(base) + len(items) - both):
-                    links.append((hub, rep))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], schema=schema
-        )
+        yield from in_larger_batches(edges(ticket) for ticket in sorted_groups(batches, ["ticket"]))
 
     return run
 
 
+def links_of(tickets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within tickets (ticket, hub, rep), by full sets; a set goes to each of its tickets."""
+    sent = tickets.groupBy("rep").agg(F.collect_list(F.struct("ticket", "hub")).alias("tickets"))
+    sets = texts.withColumnRenamed("doc_id", "rep").join(stored(sent).hint("shuffle_hash"), "rep")
+    shipped = sets.select("rep", "text", "tickets").mapInArrow(_ship_sets, "ticket long, hub boolean, rep long, items binary")
+    dealt = shipped.repartition(partitions(texts.sparkSession), "ticket").sortWithinPartitions("ticket")
+    return dealt.mapInArrow(_confirm(percent), "a long, b long")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among candidate pairs (hub, other), by their full sets."""
-    spark = pairs.sparkSession
     pairs = pairs.select(F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y")).distinct()
     # The endpoint with more pairs is the hub, so that its set is sent seldom.
     ends = pairs.select(F.explode(F.array("x", "y")).alias("rep"))
@@ -437,10 +478,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     tickets = chosen.select(F.col("other").alias("rep"), "ticket", F.lit(False).alias("hub")).unionByName(
         chosen.select(F.col("hub").alias("rep"), "ticket", F.lit(True).alias("hub")).distinct()
     )
-    tickets = stored(tickets.groupBy("rep").agg(F.collect_list(F.struct("ticket", "hub")).alias("tickets")))
-    sets = texts.withColumnRenamed("doc_id", "rep").join(tickets.hint("shuffle_hash"), "rep")
-    shipped = sets.select("rep", "text", "tickets").mapInArrow(_ship_sets, "ticket long, hub boolean, rep long, items binary")
-    return shipped.repartition(partitions(spark), "ticket").mapInArrow(_confirm(percent), "a long, b long")
+    return links_of(tickets, texts, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -467,14 +505,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     regions, hub_pairs, entry = forest_regions(reps)
     signed = regions.join(reps.select("rep", "signature"), "rep")
     dealt = signed.select("key", "tree", "rep", "central", "signature").repartition(partitions(docs.sparkSession), "key")
-    pairs = dealt.mapInArrow(_region_pairs(percent), "hub long, other long")
+    pairs = dealt.sortWithinPartitions("key", "rep").mapInArrow(_region_pairs(percent), "hub long, other long")
     if hub_pairs is not None:
         pairs = pairs.unionByName(hub_pairs)
     links = stored(confirmed(pairs, known, percent))
     groups = stored(connected_components(links))
-    pairs = stored(pairs_across(entry, groups, reps, percent))
-    if pairs.limit(1).count():
-        more = stored(confirmed(pairs, known, percent))
+    tiles = stored(tiles_across(entry, groups, reps, percent))
+    if tiles.limit(1).count():
+        more = stored(links_of(tiles, known, percent))
         groups = stored(connected_components(links.unionByName(more)))
     classes = stored(
         reps.select(*same, "rep")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.llm.common import partitions, run_starts, stored, tidy
-from twinloom.llm.components import Forest, connected_components
+from twinloom.llm.components import Forest, connected_components, unite_tile
 
 PASSES = 24
 KEY_BITS = 12  # at most: each further bit parts a pair at the threshold with 6 %
@@ -81,25 +81,6 @@ def _keys(passes: int, window: int):
     return run
 
 
-def _unite(forest: Forest, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> None:
-    """Join what a tile links; each row and column of the tile is looked at once."""
-    rows, cols = linked.any(axis=1), linked.any(axis=0)
-    for start in np.flatnonzero(rows).tolist():
-        if not rows[start]:
-            continue
-        first, rows[start] = int(left[start]), False
-        at = np.array([start])
-        while len(at):
-            near = np.flatnonzero(linked[at].any(axis=0) & cols)
-            cols[near] = False
-            for k in near.tolist():
-                forest.join(first, int(right[k]))
-            at = np.flatnonzero(linked[:, near].any(axis=1) & rows)
-            rows[at] = False
-            for k in at.tolist():
-                forest.join(first, int(left[k]))
-
-
 def _link_tiles(threshold: float):
     keys = ["pass", "label", "size", "key", "i", "j"]
 
@@ -130,7 +111,7 @@ def _link_tiles(threshold: float):
             linked = unit[left] @ unit[right].T >= threshold
             if right is left:
                 np.fill_diagonal(linked, False)
-            _unite(forest, rep[left], rep[right], linked)
+            unite_tile(forest, rep[left], rep[right], linked)
         yield forest.edges()
 
     return run
