@@ -26,8 +26,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from twinloom.llm.common import documents, kept_fields, tidy
 
-KNOWN_PIECES = 400_000  # encoded pieces that a worker remembers
+KNOWN_PIECES = 400_000  # encoded chunks that a worker remembers between groups
 GROUP_CHARS = 8 << 20  # text whose new pieces are indexed together
+OTHER_SPACE = "\t\n\v\f\r\x1c\x1d\x1e\x1f"  # ASCII that may count as white space beside the space
 
 # The pattern that splits text before the merges (fixed value of byte-level vocabularies).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -73,9 +74,15 @@ class Vocabulary:
 
 
 def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
-    """Ids of each piece, by one index over all of them."""
+    """Ids of each piece."""
+    ids, stop = encode_together(vocabulary, pieces)
+    return np.split(ids, stop[:-1]) if pieces else []
+
+
+def encode_together(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces, one after the other, and where each piece ends, by one index over all of them."""
     if not pieces:
-        return []
+        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
     data = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8)
     lengths = np.array([len(p) for p in pieces], dtype=np.int64)
     ends = np.cumsum(lengths + 1) - 1
@@ -128,19 +135,41 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> list[np.ndarra
         add(np.concatenate([prior[symbol[prior] >= 0], places]))
     kept = symbol >= 0
     count = np.cumsum(kept)
-    stop = count[ends]
-    ids = symbol[kept].astype(np.int32)
-    return np.split(ids, stop[:-1])
+    return symbol[kept].astype(np.int32), count[ends]
+
+
+def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    stop = np.cumsum(count)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - count), count)
+
+
+class Numbers(dict):
+    """Chunks and their numbers; a chunk that is missing gets the next one."""
+
+    def __init__(self, chunks=()):
+        super().__init__((c, k) for k, c in enumerate(chunks))
+        self.new: list = []
+
+    def __missing__(self, chunk):
+        self[chunk] = number = len(self)
+        self.new.append(chunk)
+        return number
 
 
 class Encoder:
-    """Encodes texts, remembering a bounded number of pieces."""
+    """Encodes groups of texts, remembering the ids of a bounded number of chunks."""
 
     def __init__(self, content: bytes):
         self.vocabulary = Vocabulary(content)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.split = regex.compile(PIECES)
         self.loose = regex.compile(r" \s|\s ")
+        special = list(self.vocabulary.special.items())
+        self.numbers = Numbers([(token,) for token, _ in special])  # never equal to a chunk of text
+        self.fixed = len(special)
+        self.ids = np.array([k for _, k in special], dtype=np.int32)  # of all chunks, by number
+        self.begin = np.arange(self.fixed)
+        self.count = np.ones(self.fixed, dtype=np.int64)
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text that are encoded on their own.
@@ -148,7 +177,11 @@ class Encoder:
         A single space always begins a piece, so the text is cut there; where white space
         meets a space, the pattern decides.
         """
-        if self.loose.search(text):
+        if text.isascii() and not any(c in text for c in OTHER_SPACE):
+            loose = "  " in text
+        else:
+            loose = self.loose.search(text) is not None
+        if loose:
             return self.split.findall(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
@@ -164,43 +197,59 @@ class Encoder:
             at = m.end()
         return [x for x in [*out, (text[at:], False)] if x[0]]
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode what these texts have that is not known yet."""
-        new: set[str] = set()
+    def pieces(self, chunk: str) -> list[str]:
+        """Pieces of a chunk; one word of plain letters is one piece."""
+        word = chunk[1:] if chunk.startswith(" ") else chunk
+        return [chunk] if word.isascii() and word.isalpha() else self.split.findall(chunk)
+
+    def learn(self) -> None:
+        """Encode the chunks that are new."""
+        parts = [self.pieces(c) for c in self.numbers.new]
+        self.numbers.new = []
+        distinct = Numbers()
+        places = np.array([distinct[p] for x in parts for p in x], dtype=np.int64)
+        ids, stop = encode_together(self.vocabulary, [p.encode() for p in distinct])
+        many = np.diff(stop, prepend=0)
+        of_place = np.concatenate([[0], np.cumsum(many[places])])
+        ends = of_place[np.cumsum([len(x) for x in parts], dtype=np.int64)]
+        count = np.diff(ends, prepend=0)
+        self.begin = np.concatenate([self.begin, len(self.ids) + ends - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, ids[ranges((stop - many)[places], many[places])]])
+
+    def forget(self, used: np.ndarray) -> None:
+        """Keep the chunks of the last group only, if there are too many."""
+        if len(self.numbers) <= KNOWN_PIECES:
+            return
+        kept = np.union1d(np.arange(self.fixed), used)
+        if len(kept) > KNOWN_PIECES:
+            kept = kept[: max(self.fixed, KNOWN_PIECES // 2)]
+        chunks = list(self.numbers)
+        self.numbers = Numbers([chunks[k] for k in kept.tolist()])
+        self.ids = self.ids[ranges(self.begin[kept], self.count[kept])]
+        self.count = self.count[kept]
+        self.begin = np.cumsum(self.count) - self.count
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the offsets of the texts."""
+        found: list[np.ndarray] = []
+        number = self.numbers.__getitem__
         for text in texts:
+            mine: list[int] = []
             for part, special in self.segments(text):
-                if not special:
-                    new.update(self.chunks(part))
-        new -= self.known.keys()
-        if len(self.known) + len(new) > KNOWN_PIECES:
-            self.known.clear()
-            new = {c for t in texts for p, s in self.segments(t) if not s for c in self.chunks(p)}
-        words = list(new)
-        pieces = [self.split.findall(w) for w in words]
-        distinct = {p: k for k, p in enumerate(dict.fromkeys(p for x in pieces for p in x))}
-        ids = encode_pieces(self.vocabulary, [p.encode() for p in distinct])
-        raw = self.vocabulary.pieces
-        done = [(i.tobytes(), b"".join([raw[k] for k in i.tolist()])) for i in ids]
-        for word, parts in zip(words, pieces):
-            if len(parts) == 1:
-                self.known[word] = done[distinct[parts[0]]]
-            else:
-                got = [done[distinct[p]] for p in parts]
-                self.known[word] = b"".join([x[0] for x in got]), b"".join([x[1] for x in got])
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids (packed 32-bit) and their bytes."""
-        ids, raw = [], []
-        for part, special in self.segments(text):
-            if special:
-                k = self.vocabulary.special[part]
-                ids.append(np.int32(k).tobytes())
-                raw.append(self.vocabulary.pieces[k])
-            else:
-                found = [self.known[c] for c in self.chunks(part)]
-                ids += [x[0] for x in found]
-                raw += [x[1] for x in found]
-        return b"".join(ids), b"".join(raw)
+                mine.extend(map(number, [(part,)] if special else self.chunks(part)))
+            found.append(np.array(mine, dtype=np.int64))
+        if self.numbers.new:
+            self.learn()
+        used = np.concatenate(found)
+        offsets = np.concatenate([[0], np.cumsum(self.count[used])])
+        offsets = offsets[np.cumsum([0, *map(len, found)])]
+        ids = self.ids[ranges(self.begin[used], self.count[used])]
+        self.forget(used)
+        return ids, offsets
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.vocabulary.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 def worker_cache(key: object, make):
@@ -233,17 +282,10 @@ def _run(content, schema: pa.Schema, key: str):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for b, e in text_groups(texts, GROUP_CHARS):
                 group = texts[b:e]
-                encoder.learn(group)
-                ids, decoded = [], []
-                for t in group:
-                    i, raw = encoder.encode(t)
-                    ids.append(i)
-                    decoded.append(raw.decode("utf-8", "replace"))
-                offsets = np.cumsum([0] + [len(i) // 4 for i in ids])
+                ids, offsets = encoder.encode(group)
+                decoded = [encoder.decode(ids[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 made = {
-                    "ids": pa.ListArray.from_arrays(
-                        pa.array(offsets, type=pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-                    ),
+                    "ids": pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(ids)),
                     "decoded": pa.array(decoded, type=pa.string()),
                 }
                 part = batch.slice(b, e - b)
