@@ -107,6 +107,34 @@ def test_crowded_regions_are_compared_in_full(spark, monkeypatch):
     check(near_duplicates(frame(spark, rows)).collect(), rows)
 
 
+def test_tiles_of_sets():
+    """Postings count like sets do; blocks hold every place once, large sets alone."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 30, 60, 200)]
+    got = list(minhash_forest.intersections(sets, sets[::-1]))
+    assert [g.tolist() for g in got] == [[len(np.intersect1d(a, b)) for b in sets[::-1]] for a in sets]
+    most = minhash_forest.TILE_SHINGLES
+    sizes = np.array([5, most, 1, most // 2, most // 2, 3])
+    blocks = minhash_forest.set_blocks(np.arange(6), sizes)
+    assert np.concatenate(blocks).tolist() == list(range(6))
+    assert all(sizes[b].sum() - sizes[b[-1]] <= most for b in blocks)
+
+
+def test_look_alikes_send_each_set_once_per_tile(spark):
+    """180 texts that nearly link have 16,110 pairs; their sets travel per tile and tree."""
+    rows = boilerplate(90)
+    sent = []
+
+    def counted(tickets, texts, percent, real=minhash_forest.links_of):
+        sent.append(tickets.count())
+        return real(tickets, texts, percent)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(minhash_forest, "links_of", counted)
+        check(near_duplicates(frame(spark, rows)).collect(), rows)
+    assert sent[-1] <= 2 * minhash_forest.TREES * len(rows)
+
+
 def test_edges_of_the_threshold(spark):
     words = [f"w{k}" for k in range(39)]  # 35 shingles
     near = words[:-5] + ["x"] * 5  # 30 of 40 shared: exactly 75 in 100

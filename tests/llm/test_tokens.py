@@ -107,3 +107,24 @@ def test_every_capacity_holds(rule):
     with pytest.raises(ValueError):
         best_fit(np.array([200]), Capacity(128))
     assert len(best_fit(np.array([], dtype=np.int64), Capacity())[0]) == 0
+
+
+def test_forgotten_chunks_are_encoded_again(monkeypatch):
+    """With room for few chunks the ids and texts stay those of the library."""
+    from twinloom.llm import bpe_index
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = tokenizers.Tokenizer.from_file(file)
+    monkeypatch.setattr(bpe_index, "KNOWN_PIECES", 50)
+    with open(file, "rb") as content:
+        encoder = bpe_index.Encoder(content.read())
+    rng = random.Random(4)
+    letters = [*"ab  \t\n\x1c\x85'stre 1\u0130\u2003", "<|endoftext|>", " don't", "\u65e5"]
+    for _ in range(40):
+        texts = ["", *("".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(20))]
+        ids, offsets = encoder.encode(texts)
+        for text, begin, end in zip(texts, offsets[:-1], offsets[1:]):
+            want = tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids[begin:end].tolist() == want
+            assert encoder.decode(ids[begin:end]) == tokenizer.decode(want, skip_special_tokens=False)
+        assert len(encoder.numbers) <= 50
