@@ -87,3 +87,15 @@ def test_the_whole_run(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.agg(F.count("*"), F.countDistinct("sequence_id")).first()[0] > 50
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near duplicates", "repeated text", "packing"]
+
+
+@pytest.mark.parametrize("stage", ["known_language", "one_of_each", "without_repeats"])
+def test_stages_on_an_empty_table_and_clashing_names(spark, stage):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, n_removed long"
+    run = getattr(corpus_pipeline, stage)
+    got = run(spark, spark.createDataFrame([], columns), "")
+    assert got.columns == corpus_pipeline.COLUMNS and got.collect() == []
+    rows = [(1, "one plain text of words", None, None, None, 0.5, None, 3), (2, None, None, "s", 0, None, False, None)]
+    got = run(spark, spark.createDataFrame(rows, columns), "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, rows[0][1]), (2, None)]  # no language is known
