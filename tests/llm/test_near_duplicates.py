@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cases import corpus, frame, sentence, with_edges
 from twinloom.llm import components, minhash_forest, projection_passes
@@ -206,7 +207,43 @@ def test_vectors_like_brute_force(spark, tile):
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_duplicate_vectors(df).collect() == []
-    assert projection_passes.WINDOW > 1
+
+
+def test_passes_sort_every_label(spark):
+    """With production parameters all labels of a small table go through several sorted passes, in blocks without gaps."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    reps = table.where("label is not null").select(
+        F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("values"), F.col("vec_id").alias("rep")
+    ).withColumn("size", F.size("values"))
+    rows = projection_passes.sorted_passes(reps, 0.98, projection_passes.WINDOW, 100).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(len(rows))) and all(r.block == r.position // 100 for r in rows)
+    order = [(r["pass"], r.label, r["size"], r.key, r.rep) for r in rows]
+    assert order == sorted(order)
+    sizes = {r.label: r["count"] for r in reps.groupBy("label").count().collect()}
+    counts = projection_passes.passes_of(0.98)
+    for label, n in sizes.items():
+        bits = max(0, int(np.ceil(np.log2(n / projection_passes.WINDOW))))
+        assert {r["pass"] for r in rows if r.label == label} == set(range(counts[bits]))
+        assert n <= projection_passes.WINDOW or counts[bits] > 4
+    assert len(counts) == projection_passes.KEY_BITS + 1 and counts[-1] <= projection_passes.PASSES
+
+
+def test_ranges_and_windows_cross_blocks(spark):
+    """Every two vectors of a range, or of a window, meet in a tile, wherever the blocks end."""
+    rng = random.Random(6)
+    rows, window, tile = [], 3, 8
+    for position, prefix in enumerate(sorted(rng.choice([1, 2, 2, 2, 3, 4, 5, 6, 7]) for _ in range(100))):
+        rows.append((0, 5, 2, prefix, prefix, 1000 + position, position, position // tile))
+    schema = "pass int, label long, size int, key long, prefix long, rep long, position long, block long"
+    placed = projection_passes._in_tiles(spark.createDataFrame(rows, schema).repartition(4), window, tile)
+    tiles = {}
+    for r in placed.select("position", F.inline("tiles")).collect():
+        tiles.setdefault((r.i, r.j), {0: set(), 1: set()})[r.side].add(r.position)
+    for p in rows:
+        for q in rows:
+            if p[6] < q[6] and (p[4] == q[4] or q[6] - p[6] <= window):
+                tile_of = tiles[p[7], q[7]]
+                assert p[6] in tile_of[0] and q[6] in tile_of[0 if p[7] == q[7] else 1]
 
 
 @pytest.mark.parametrize("background, tile", [(0.95, 1024), (0.95, 64), (0.0, 64)])

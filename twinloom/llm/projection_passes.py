@@ -1,12 +1,18 @@
 """Near-duplicate vectors by sorted projection passes.
 
-A pass gives every vector a key: the signs of its products with random directions. Vectors
-of one label and key are a range of that pass, and all pairs of a range are compared, crowded
-ranges in tiles of bounded size. A label of up to PASSES tiles is one range, without a pass;
-so is one whose ranges would take as many comparisons, because its vectors are all alike.
-Then every pair of the label is seen; with passes, a pair at cosine 0.98 shares no range with
-a chance of 5e-7. Pairs of cosine ``threshold`` or more are united across ranges into
-components; a task hands on one link per member, not all pairs.
+A pass hashes every vector to a string of bits, the signs of its products with random
+directions, and sorts the vectors of a label lexicographically by it. Each vector is then
+compared with its neighbours in that order: at least ``window`` of them, and beyond these as
+far as the range of equal leading bits goes. How many leading bits count follows from the
+label's number of vectors, so that a range holds about a window of them where they are
+spread; how many passes a label takes follows from the bits, so that a pair at the threshold
+shares no range in any pass with a chance below MISS. Both rules are the same at every size.
+
+The sorted order is cut into blocks of ``tile`` vectors by position, wherever labels, ranges
+or partitions end. Vectors near a border also go to the next block's tile, and a range that
+spans several blocks is compared in a tile for each two of them, so no window ends at a
+border and no crowded range is one task. Pairs of cosine ``threshold`` or more are united
+across passes into components; a task hands on one link per member, not all pairs.
 
 Links are counted afterwards: only members of one component can be linked, and within a
 component all pairs are compared in tiles, which give counts and no pairs. Equal vectors are
@@ -15,25 +21,43 @@ one representative with a multiplicity throughout.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import partitions, run_starts, stored, tidy
+from twinloom.llm.common import partitions, record_batch, run_starts, sorted_groups, stored, tidy
 from twinloom.llm.components import Forest, connected_components, unite_tile
 
-PASSES = 24
-KEY_BITS = 12  # at most: each further bit parts a pair at the threshold with 6 %
-WINDOW = 32  # vectors of a range, as far as KEY_BITS go, in a label that is spread evenly
+KEY_BITS = 24  # hashes of a pass, concatenated
+PASSES = 64  # at most; 24 bits at cosine 0.98 take 60
+MISS = 1e-6  # chance that a pair at the threshold shares no range in any pass
+WINDOW = 32  # neighbours that are always compared
 TILE = 1024
 
 
-def directions(size: int, passes: int) -> np.ndarray:
+@functools.lru_cache(maxsize=8)
+def directions(size: int) -> np.ndarray:
     """Random directions of all passes: pass, bit, component."""
-    return np.random.default_rng(10).standard_normal((passes, KEY_BITS, size))
+    return np.random.default_rng(10).standard_normal((PASSES, KEY_BITS, size))
+
+
+def passes_of(threshold: float) -> list[int]:
+    """How many passes each number of leading bits takes, as far as PASSES suffice."""
+    apart = math.acos(min(max(threshold, -1.0), 1.0)) / math.pi  # chance that one bit parts a pair
+    counts = [1]
+    for bits in range(1, KEY_BITS + 1):
+        lost = 1.0 - (1.0 - apart) ** bits  # in one pass
+        needed = math.ceil(math.log(MISS) / math.log(lost)) if 0.0 < lost < 1.0 else 1 if lost == 0.0 else PASSES + 1
+        if needed > PASSES:
+            break
+        counts.append(needed)
+    return counts
 
 
 def unit_rows(values: list | np.ndarray) -> np.ndarray:
@@ -46,11 +70,23 @@ def unit_rows(values: list | np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-_KEYED = "pass int, label long, size int, key long, rep long, values array<double>"
+def _units(values: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of a column of lists of one length."""
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    return unit_rows(values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1))
+
+
+_KEYED = "pass int, label long, size int, key long, prefix long, rep long"
+_KEYED_SCHEMA = pa.schema(
+    [("pass", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("key", pa.int64()), ("prefix", pa.int64()), ("rep", pa.int64())]
+)
+_ORDER = ["pass", "label", "size", "key", "rep"]
 
 
-def _keys(passes: int, window: int):
-    schema = pa.schema([("pass", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("key", pa.int64()), ("rep", pa.int64()), ("values", pa.list_(pa.float64()))])
+def _keys(threshold: float, window: int):
+    """Each vector's key in each of its label's passes; ``prefix`` is its leading bits that count."""
+    needed = np.array(passes_of(threshold))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,59 +95,114 @@ def _keys(passes: int, window: int):
                 part = batch.slice(at, 1024)
                 sizes = part.column("size").to_numpy()
                 for size in np.unique(sizes).tolist():
-                    mine = np.flatnonzero(sizes == size)
-                    rows = part.take(pa.array(mine))
-                    unit = unit_rows(rows.column("values").to_pylist())
+                    rows = part.take(pa.array(np.flatnonzero(sizes == size)))
+                    unit = _units(rows.column("values"))
+                    label, rep = rows.column("label").to_numpy(), rows.column("rep").to_numpy()
                     many = rows.column("members").to_numpy()
-                    bits = np.clip(np.ceil(np.log2(many / window)), 1, KEY_BITS).astype(np.int64)
-                    for p, turn in enumerate(directions(size, passes)):
-                        key = (unit @ turn.T > 0) @ (1 << np.arange(KEY_BITS))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(mine), p, dtype=np.int32)),
-                                rows.column("label"),
-                                rows.column("size"),
-                                pa.array(key & ((1 << bits) - 1)),
-                                rows.column("rep"),
-                                rows.column("values"),
-                            ],
-                            schema=schema,
+                    bits = np.clip(np.ceil(np.log2(many / window)), 0, len(needed) - 1).astype(np.int64)
+                    for p in range(int(needed[bits].max())):
+                        mine = np.flatnonzero(needed[bits] > p)
+                        key = (unit[mine] @ directions(size)[p].T > 0) @ (1 << np.arange(KEY_BITS)[::-1])
+                        yield record_batch(
+                            {
+                                "pass": np.full(len(mine), p),
+                                "label": label[mine],
+                                "size": np.full(len(mine), size),
+                                "key": key,
+                                "prefix": key >> (KEY_BITS - bits[mine]),
+                                "rep": rep[mine],
+                            },
+                            _KEYED_SCHEMA,
                         )
 
     return run
 
 
-def _link_tiles(threshold: float):
-    keys = ["pass", "label", "size", "key", "i", "j"]
+@tidy
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with their partition and their place in it."""
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.num_rows
+        yield batch.append_column("part", pa.array(np.full(n, part, dtype=np.int32))).append_column(
+            "at", pa.array(np.arange(at, at + n, dtype=np.int64))
+        )
+        at += n
+
+
+def sorted_passes(reps: DataFrame, threshold: float, window: int, tile: int) -> DataFrame:
+    """Rows of ``_KEYED`` in the order of all passes: their position, and its block of ``tile`` positions.
+
+    ``reps`` has label, size, rep, values. Vectors are left out: only keys are sorted.
+    """
+    of = ["label", "size"]
+    members = reps.groupBy(*of).agg(F.count("*").alias("members"))
+    keyed = reps.join(members, of).select(*of, "members", "rep", "values").mapInArrow(_keys(threshold, window), _KEYED)
+    n = partitions(reps.sparkSession)
+    ordered = keyed.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER)
+    placed = stored(ordered.mapInArrow(_places, f"{_KEYED}, part int, at long"))
+    # A row per partition, so one task may add them up and all may have them.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    position = placed.join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.col("at"))
+    return position.withColumn("block", F.floor(F.col("position") / F.lit(tile))).drop("part", "at", "before")
+
+
+def _in_tiles(passes: DataFrame, window: int, tile: int) -> DataFrame:
+    """Rows of the passes in each tile (i, j, side) that compares them."""
+    key = ["pass", "label", "size", "prefix"]
+    ranges = passes.groupBy(*key).agg(F.min("block").alias("first"), F.max("block").alias("last"))
+    # A block has parts of at most two ranges that go on beyond it, so joining by block meets no hot key.
+    spans = (
+        ranges.where("last > first")
+        .withColumn("block", F.explode(F.sequence("first", "last")))
+        .groupBy("block")
+        .agg(F.collect_list(F.struct(*key, "first", "last")).alias("spans"))
+    )
+    mine = F.filter("spans", lambda s: functools.reduce(lambda a, b: a & b, [s[c] == F.col(c) for c in key]))
+    span = F.try_element_at(mine, F.lit(1))
+    first, last = F.coalesce(span["first"], F.col("block")), F.coalesce(span["last"], F.col("block"))
+    at = F.pmod(F.col("position"), F.lit(tile))
+    first = F.when((at < window) & (F.col("block") > 0), F.least(first, F.col("block") - 1)).otherwise(first)
+    last = F.when(at >= tile - window, F.greatest(last, F.col("block") + 1)).otherwise(last)
+    others = F.transform(
+        F.sequence("from", "to"),
+        lambda o: F.struct(
+            F.least("block", o).alias("i"),
+            F.greatest("block", o).alias("j"),
+            F.when(F.col("block") <= o, 0).otherwise(1).alias("side"),
+        ),
+    )
+    reach = passes.join(spans, "block", "left").withColumns({"from": first, "to": last})
+    return reach.select(*key, "position", "rep", others.alias("tiles"))
 
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Tiles one by one: rows are sorted by them."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            begin = run_starts(*(batch.column(c).to_numpy() for c in keys)).tolist()
-            for b, e in zip(begin, [*begin[1:], batch.num_rows]):
-                part = batch.slice(b, e - b)
-                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in keys):
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield pa.Table.from_batches(held)
 
+def _link_tiles(threshold: float, window: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for tile in tiles(batches):
-            if tile.num_rows < 2:
-                continue
-            values = tile.column("values").combine_chunks()
-            unit = unit_rows(values.flatten().to_numpy().reshape(tile.num_rows, -1))
-            rep, left = tile.column("rep").to_numpy(), tile.column("side").to_numpy() == 0
-            right = left if tile.column("i")[0] == tile.column("j")[0] else ~left
-            linked = unit[left] @ unit[right].T >= threshold
-            if right is left:
-                np.fill_diagonal(linked, False)
-            unite_tile(forest, rep[left], rep[right], linked)
+        for tile in sorted_groups(batches, ["i", "j"]):
+            inside = tile.column("i")[0] == tile.column("j")[0]
+            names = ("pass", "label", "size", "side", "prefix", "rep")
+            turn, label, size, side, prefix, reps = (tile.column(c).to_numpy() for c in names)
+            begin = run_starts(turn, label, size)
+            for b, e in zip(begin.tolist(), [*begin[1:].tolist(), tile.num_rows]):
+                if e - b < 2 or not inside and side[b] == side[e - 1]:
+                    continue
+                unit, rep = _units(tile.column("values").slice(b, e - b)), reps[b:e]
+                if not inside:  # two blocks: what shares a range or stands near their border
+                    cut = int(np.searchsorted(side[b:e], 1))
+                    unite_tile(forest, rep[:cut], rep[cut:], unit[:cut] @ unit[cut:].T >= threshold)
+                    continue
+                starts = run_starts(prefix[b:e])
+                ends = np.repeat(np.append(starts[1:], e - b), np.diff(np.append(starts, e - b)))
+                for low in range(0, e - b, window):
+                    high = min(low + window, e - b)
+                    reach = max(high + window, int(ends[high - 1]))
+                    linked = unit[low:high] @ unit[low:reach].T >= threshold
+                    linked[np.arange(high - low), np.arange(high - low)] = False
+                    unite_tile(forest, rep[low:high], rep[low:reach], linked)
         yield forest.edges()
 
     return run
@@ -121,65 +212,26 @@ def _count_tiles(threshold: float):
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64())])
 
     @tidy
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        keys = [table.column(c).to_numpy() for c in ("component", "i", "j")]
-        order = np.lexsort(keys[::-1])
-        keys = [k[order] for k in keys]
-        side, reps, many = (table.column(c).to_numpy()[order] for c in ("side", "rep", "many"))
-        values = table.column("values").take(pa.array(order))
-        begin = run_starts(*keys)
-        for b, e in zip(begin.tolist(), np.append(begin[1:], len(order)).tolist()):
-            unit = unit_rows(values.slice(b, e - b).to_pylist())
-            left, right = side[b:e] == 0, side[b:e] == 1
-            if keys[1][b] == keys[2][b]:  # a block with itself
+        for tile in sorted_groups(batches, ["component", "i", "j"]):
+            unit = _units(tile.column("values"))
+            side, reps, many = (tile.column(c).to_numpy() for c in ("side", "rep", "many"))
+            left, right = side == 0, side == 1
+            if tile.column("i")[0] == tile.column("j")[0]:  # a block with itself
                 right = left
             linked = unit[left] @ unit[right].T >= threshold
-            same = reps[b:e][left][:, None] == reps[b:e][right][None, :]
-            linked &= ~same
-            count = linked @ many[b:e][right]
-            found = [(reps[b:e][left], count)]
+            linked &= reps[left][:, None] != reps[right][None, :]
+            found = [(reps[left], linked @ many[right])]
             if right is not left:
-                found.append((reps[b:e][right], many[b:e][left] @ linked))
+                found.append((reps[right], many[left] @ linked))
             for who, n in found:
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n.astype(np.int64))], schema=schema)
+                yield record_batch({"rep": who, "n": n.astype(np.int64)}, schema)
 
     return run
 
 
-def _ranges(reps: DataFrame, passes: int, window: int, tile: int) -> DataFrame:
-    """Rows of reps in each range they are compared in, with the range's number of blocks."""
-    of = ["label", "size"]
-    labels = stored(reps.groupBy(*of).agg(F.count("*").alias("members")))
-    blocks = F.ceil(F.col("members") / F.lit(tile)).alias("blocks")
-    columns = ["pass", *of, "key", "rep", "values", "blocks"]
-
-    def whole(some: DataFrame) -> DataFrame:
-        one = some.select(*of, F.lit(-1).alias("pass"), F.lit(0).cast("long").alias("key"), blocks)
-        return reps.join(one, of).select(*columns)
-
-    large = labels.where(F.col("members") > passes * tile)
-    if not large.limit(1).count():
-        return whole(labels)
-    keyed = reps.join(large, of).select(*of, "members", "rep", "values").mapInArrow(_keys(passes, window), _KEYED)
-    sizes = stored(keyed.groupBy("pass", *of, "key").agg(F.count("*").alias("members")))
-    work = sizes.groupBy(*of).agg(F.sum(F.col("members") * F.col("members")).alias("work"))
-    spread = large.join(work, of).where(F.col("work") < F.col("members") * F.col("members")).select(*of)
-    spread = stored(spread)
-    crowded = sizes.where(F.col("members") > tile).select("pass", *of, "key", blocks)
-    parted = (
-        keyed.join(spread, of, "left_semi")
-        .join(crowded, ["pass", *of, "key"], "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    )
-    return whole(labels.join(spread, of, "left_anti")).unionByName(parted.select(*columns))
-
-
 def near_duplicate_vectors(
-    vectors: DataFrame, threshold: float = 0.98, passes: int = PASSES, window: int = WINDOW, tile: int = TILE
+    vectors: DataFrame, threshold: float = 0.98, window: int = WINDOW, tile: int = TILE
 ) -> DataFrame:
     """Links and components of vectors with equal labels.
 
@@ -192,6 +244,7 @@ def near_duplicate_vectors(
     null. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
+    window = min(window, tile)
     x = F.col("values")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("values"))
@@ -203,20 +256,17 @@ def near_duplicate_vectors(
         .groupBy("label", "values")
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
     )
+    reps = reps.withColumn("size", F.size("values"))
     n = partitions(spark)
-    ranges = _ranges(reps.withColumn("size", F.size("values")), passes, window, tile)
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = ranges.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    order = ["pass", "label", "size", "key", "i", "j"]
-    dealt = dealt.select(
-        *order[:4],
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
-        "rep",
-        "values",
+    places = _in_tiles(sorted_passes(reps, threshold, window, tile), window, tile)
+    order = ["i", "j", "pass", "label", "size", "side", "position"]
+    dealt = (
+        places.join(reps.select("label", "size", "rep", "values"), ["label", "size", "rep"])
+        .select(*places.columns[:-1], "values", F.inline("tiles"))
+        .repartition(n, "i", "j")
+        .sortWithinPartitions(*order)
     )
-    links = dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_link_tiles(threshold), "a long, b long")
+    links = dealt.mapInArrow(_link_tiles(threshold, window), "a long, b long")
     groups = stored(connected_components(links))
     # All pairs within a component, counted in tiles.
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("blocks"))
@@ -234,6 +284,7 @@ def near_duplicate_vectors(
     )
     counted = (
         tiles.repartition(n, "component", "i", "j")
+        .sortWithinPartitions("component", "i", "j")
         .mapInArrow(_count_tiles(threshold), "rep long, n long")
         .groupBy("rep")
         .agg(F.sum("n").alias("n"))
@@ -262,3 +313,19 @@ def near_duplicate_vectors(
 
 def op10_projection_passes(spark, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+_FINE = "list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+OP10_SQL = f"""WITH RECURSIVE fine AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+      WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND {_FINE}),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.98e0),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+    tops AS (SELECT a, min(b) AS top FROM reach GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(top, vec_id))::BIGINT AS component_id,
+           vec_id = least(vec_id, coalesce(top, vec_id)) AS kept
+    FROM embeddings LEFT JOIN counts c ON c.a = vec_id LEFT JOIN tops t ON t.a = vec_id"""

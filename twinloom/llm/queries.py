@@ -11,7 +11,7 @@ from twinloom.llm.grid_codes import OP13_SQL, op13_grid_codes
 from twinloom.llm.license_diagonals import op8_license_diagonals
 from twinloom.llm.minhash_forest import op1_minhash_forest
 from twinloom.llm.prefix_trie import OP11_SQL, op11_prefix_trie
-from twinloom.llm.projection_passes import op10_projection_passes
+from twinloom.llm.projection_passes import OP10_SQL, op10_projection_passes
 from twinloom.llm.relative_lz import op4_relative_lz
 from twinloom.llm.string_kernel import op9_string_kernel
 from twinloom.llm.suffix_array import op5_suffix_array
@@ -40,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_topk_tiles": OP3_SQL,
+    "op10_projection_passes": OP10_SQL,
     "op11_prefix_trie": OP11_SQL,
     "op12_warc_archives": OP12_SQL,
     "op13_grid_codes": OP13_SQL,
