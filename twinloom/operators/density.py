@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.values import as_double, union_all
+from twinloom.runtime import small_frame
 
 # Points of a curve, and how far it runs past the data (in bandwidths).
 GRID = 200
@@ -32,6 +33,34 @@ def _long(pairs: dict, columns: list[tuple[str, str]]) -> DataFrame:
     return union_all(parts).where(F.col("v").isNotNull())
 
 
+def _facts(pairs: dict, columns: list[tuple[str, str]]) -> list[tuple]:
+    """(table, column, side, n, deviation, low, high) of the chosen columns that have values.
+
+    One pass over each side without a shuffle of rows; a row per column and side comes back.
+    """
+    parts = []
+    for name in dict.fromkeys(t for t, _ in columns):
+        for side, df in zip(("real", "synth"), pairs[name]):
+            types = {f.name: f.dataType for f in df.schema.fields}
+            facts = []
+            for c in (c for t, c in columns if t == name):
+                v = as_double(F.col(f"`{c}`"), types[c])
+                found = F.count(v).alias("n"), F.stddev_samp(v).alias("s"), F.min(v).alias("low"), F.max(v).alias("high")
+                facts.append(F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(side).alias("side"), *found))
+            parts.append(df.agg(F.array(*facts).alias("f")).select(F.inline("f")))
+    return [tuple(r) for r in union_all(parts).where("n > 0").collect()]
+
+
+def _spans(pairs: dict, columns: list[tuple[str, str]]) -> list[tuple]:
+    """(table, column, low, high, n_real, n_synth): the common range and the values of both sides."""
+    spans: dict[tuple[str, str], list] = {}
+    for table, column, side, n, _, low, high in _facts(pairs, columns):
+        span = spans.setdefault((table, column), [low, high, 0, 0])
+        span[0], span[1] = min(span[0], low), max(span[1], high)
+        span[2 if side == "real" else 3] = n
+    return [(*name, *span) for name, span in spans.items()]
+
+
 def _bin(v: Column, low: Column, high: Column, bins: int) -> Column:
     """0-based equal-width bin; the top edge belongs to the last bin."""
     width = (high - low) / F.lit(float(bins))
@@ -46,12 +75,11 @@ def histogram_compare(
 ) -> DataFrame:
     """Counts and densities of both sides in equal bins over their common range."""
     long = _long(pairs, columns)
-    span = long.groupBy("table", "column").agg(
-        F.min("v").alias("low"),
-        F.max("v").alias("high"),
-        F.count_if(F.col("side") == "real").alias("n_real"),
-        F.count_if(F.col("side") == "synth").alias("n_synth"),
-    )  # one row per column
+    span = small_frame(
+        long.sparkSession,
+        _spans(pairs, columns),
+        "table string, column string, low double, high double, n_real bigint, n_synth bigint",
+    )
     width = (F.col("high") - F.col("low")) / F.lit(float(bins))
     # one row per bin that belongs to no side, so that empty bins appear too
     nowhere = F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("v")
@@ -99,17 +127,12 @@ def density_curves(
     """
     key = ["table", "column", "side"]
     long = _long(pairs, columns)
-    stats = (
-        long.groupBy(*key)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.stddev_samp("v").alias("s"),
-            F.min("v").alias("low"),
-            F.max("v").alias("high"),
-        )
-        .where("s > 0")
-        .withColumn("bw", F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    )  # one row per column and side
+    facts = small_frame(
+        long.sparkSession,
+        _facts(pairs, columns),
+        "table string, column string, side string, n bigint, s double, low double, high double",
+    )
+    stats = facts.where("s > 0").withColumn("bw", F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     fine = (
         long.join(F.broadcast(stats), key)
         .withColumn("bin", _bin(F.col("v"), F.col("low"), F.col("high"), fine_bins))
