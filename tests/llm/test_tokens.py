@@ -59,6 +59,41 @@ def test_ids_of_random_strings_like_the_library():
     assert differ == []
 
 
+def test_plain_words_do_not_take_the_whole_library():
+    """Words, digits and signs of characters of up to two bytes are cut here; only the merges are the library's."""
+    tokenizer = Tokenizer(WORDS)
+    library, tokenizer.library = tokenizer.library, None
+    texts = ["", " ", "Größe: 12,50 kg", "¿Qué?\tÇa--va (naïve)...\r\nA1b2²½ ŸŒſŉ", "x<y | z", "«ÀÉÎ» 7--8", "Привет, Мир! Ελλάς; שלום"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("aBéÖñß7 \n.,-<ſµª²¼×") for _ in range(rng.randrange(60))) for _ in range(500)]
+    for text, got in zip(texts, tokenizer.ids(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_every_character_of_two_bytes_like_the_library():
+    """Alone, in words, before marks and signs: classes and lower case are the library's."""
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    texts = [f"{c} a{c}b {c}{c}1{c}- {c}, A{c}\u0301 {c}\u0331 ({c})" for c in map(chr, range(0x800))]
+    mine = Tokenizer(WORDS).ids(texts)
+    differ = [t for t, got in zip(texts, mine) if np.frombuffer(got, "<u4").tolist() != library.encode(t, add_special_tokens=False).ids]
+    assert differ == []
+
+
+def test_forgotten_parts_of_texts_are_encoded_again(monkeypatch):
+    """Chunks that are cut and chunks that are not, in any order, with room for few of them."""
+    from twinloom.llm import vector_packing
+
+    monkeypatch.setattr(vector_packing, "KNOWN_CHUNKS", 60)
+    library, tokenizer = tokenizers.Tokenizer.from_file(WORDS), Tokenizer(WORDS)
+    rng = random.Random(5)
+    letters = [*"abAB  \t\n\x1c\x85\u00a0\u00ad\x0b'stre 1.<|\u0130\u0331\u2003\u0117\u0180", "<|endoftext|>", "<|ENDOFTEXT|>", " don't", "\u65e5"]
+    for _ in range(200):
+        texts = ["", *("".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(10))]
+        for text, got in zip(texts, tokenizer.ids(texts)):
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert tokenizer.ids([]) == []
+
+
 def test_pieces_like_the_library(spark):
     library = tokenizers.Tokenizer.from_file(WORDS)
     texts = defaultdict(set)

@@ -12,8 +12,8 @@ bounded size, each packed by one task; a group leaves about one sequence part em
 from __future__ import annotations
 
 import os
-import re
 import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from twinloom.llm.bpe_index import text_groups, worker_cache
+from twinloom.llm.bpe_index import Numbers, ranges, text_groups, worker_cache
 from twinloom.llm.common import documents, stored, tidy
 
-KNOWN_CHUNKS = 500_000  # tokenized chunks that a task remembers, about 100 MB
-GROUP_CHARS = 8 << 20
+KNOWN_CHUNKS = 500_000  # tokenized parts of texts that a task remembers, about 100 MB
+GROUP_CHARS = 2 << 20  # text that is cut and numbered together
 GROUP_PIECES = 8192  # pieces packed by one task
 
 
@@ -43,78 +43,177 @@ class Capacity(NamedTuple):
 # ---- tokens ------------------------------------------------------------------------
 
 
-class Tokenizer:
-    """Ids of texts; chunks between blanks are tokenized once and remembered.
+BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)  # classes of characters; OTHER ties a chunk together
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of the characters of one and two bytes.
+
+    OTHER are apostrophes, as contractions begin with them, marks, and what is composed or
+    lower-cased to anything but one character of as many bytes.
+    """
+    kinds, lower = np.full(0x800, OTHER, dtype=np.uint8), np.arange(0x800)
+    for k in range(0x800):
+        c, kind = chr(k), unicodedata.category(chr(k))[0]
+        if c in " \t\n\r":
+            kinds[k] = BLANK
+        elif c.isprintable() and c != "'" and kind != "M" and unicodedata.normalize("NFC", c) == c:
+            small = c.lower()
+            if len(small) == 1 and len(small.encode()) == len(c.encode()):
+                kinds[k] = {"L": LETTER, "N": DIGIT}.get(kind, SIGN)
+                lower[k] = ord(small)
+    return kinds, lower
+
+
+KINDS, LOWER = _classes()
+BYTE_KINDS = np.concatenate([KINDS[:0x80], np.full(0x80, OTHER, dtype=np.uint8)])
+BYTE_LOWER = np.concatenate([LOWER[:0x80], np.arange(0x80, 0x100)]).astype(np.uint8)
+
+
+def cut_parts(text: bytes) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """Parts of UTF-8 text, whether each is a chunk that was not cut, and where each begins.
 
-    Only for tokenizers that drop white space, so that a chunk's ids do not depend on what
-    stands around it, and that take words, single digits and runs of other signs apart, so that
-    plain chunks can be cut further. New parts go to the library many at once, blanks between
-    them, and get the ids whose offsets lie in them.
+    Chunks stand between blanks. One of plain characters, without apostrophe or the beginning of
+    a special token, is lower-cased and cut into runs of letters, single digits and runs of signs.
     """
+    raw = np.frombuffer(text, dtype=np.uint8)
+    kind, low = BYTE_KINDS[raw], BYTE_LOWER[raw]
+    two = np.flatnonzero((raw >= 0xC2) & (raw <= 0xDF))  # first bytes of characters of two bytes
+    code = (raw[two].astype(np.int64) & 0x1F) << 6 | raw[two + 1] & 0x3F
+    kind[two] = kind[two + 1] = KINDS[code]
+    low[two], low[two + 1] = LOWER[code] >> 6 | 0xC0, LOWER[code] & 0x3F | 0x80
+    special = np.flatnonzero(raw[:-1] == ord("<"))
+    kind[special[raw[special + 1] == ord("|")]] = OTHER
+
+    solid = kind != BLANK
+    first = solid.copy()  # bytes that begin a chunk
+    first[1:] &= ~solid[:-1]
+    begins = solid & (kind == DIGIT)  # bytes that begin a part
+    begins[two + 1] = False
+    begins[1:] |= solid[1:] & (kind[1:] != kind[:-1])
+    begins |= first
+    places = np.flatnonzero(begins)
+    heads = first[places]
+    chunk = np.cumsum(heads) - 1  # of each part
+    starts = places[heads]
+    tied = np.zeros(len(starts), dtype=bool)
+    tied[np.searchsorted(starts, np.flatnonzero(kind == OTHER), side="right") - 1] = True
+    kept = heads | ~tied[chunk]
+    places, whole = places[kept], tied[chunk[kept]]
+
+    filled = np.concatenate([[0], np.cumsum(solid)])
+    ends = np.append(filled[places], filled[-1])  # without blanks
+    same = ranges(places[whole], np.diff(ends)[whole])
+    low[same] = raw[same]
+    parts = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(ends), pa.py_buffer(low[solid]))
+    return parts.dictionary_encode(), whole, places
 
-    PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+
+class Tokenizer:
+    """Ids of texts; parts of texts are tokenized once and remembered.
+
+    Only for byte-level tokenizers that drop white space, compose and lower-case characters, take
+    runs of letters, single digits and runs of other signs apart, and mark the last token of a word.
+    A chunk between blanks then has ids that do not depend on what stands around it. Plain chunks,
+    of letters, digits and signs of at most two bytes, are lower-cased and cut into such runs, many
+    at once by byte classes; the library's model makes ids of new runs. Any other chunk goes to the
+    library, signs after its last letter apart.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
+        from tokenizers import pre_tokenizers
 
         self.library = Library.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = Library(self.library.model)  # the same merges, for words that are cut already
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary, suffix = self.library.get_vocab(), self.library.model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = Numbers()
+        self.known = np.empty(0, dtype="<u4")  # ids of all parts, by number
+        self.begin = self.count = np.empty(0, dtype=np.int64)
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        if "\n" in text or "\t" in text or "\r" in text:
-            text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        return text.split(" ")
-
-    def parts(self, chunk: str) -> list[str]:
-        """Parts with ids of their own; apostrophes and special tokens tie a chunk together."""
-        if chunk.isalpha() and chunk.isascii() or "'" in chunk or "<|" in chunk or not chunk.isprintable():
+    def pieces(chunk: str) -> list[str]:
+        """Parts of an uncut chunk with ids of their own: signs that end it stay apart."""
+        if "'" in chunk or "<|" in chunk or not chunk.isprintable():
             return [chunk]
-        if chunk.isascii():
-            return self.PARTS.findall(chunk.lower())
-        if max(chunk) < "\u0180" and "\u0130" not in chunk:  # letters whose lower case is beyond doubt
-            chunk = chunk.lower()
         word = chunk.rstrip(string.punctuation)
         # a sign stays with a letter whose lower case ends in a mark
         if word != chunk and word and word[-1].isalpha() and word[-1].lower()[-1].isalpha():
             return [word, chunk[len(word) :]]
         return [chunk]
 
-    def learn(self, chunks: list[str]) -> None:
-        cut = [self.parts(c) for c in chunks]
-        new = list({p for x in cut for p in x} - self.known.keys())
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+    def encoded_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-cased runs of one class, one after the other, and their counts."""
+        ids, counts = [np.empty(0, dtype="<u4")], [np.empty(0, dtype=np.int64)]
+        for at in range(0, len(runs), 20_000):
+            found = self.model.encode_batch_fast([" ".join(runs[at : at + 20_000])], add_special_tokens=False)[0]
+            ids.append(np.array(found.ids, dtype="<u4"))
+            counts.append(np.diff(np.flatnonzero(self.last[ids[-1]]), prepend=-1))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encoded_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any chunks, one after the other, and their counts: blanks between them, those whose offsets lie in them."""
+        ids, counts = [np.empty(0, dtype="<u4")], [np.empty(0, dtype=np.int64)]
+        for at in range(0, len(chunks), 20_000):
+            some = chunks[at : at + 20_000]
             found = self.library.encode(" ".join(some), add_special_tokens=False)
-            lengths = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
-            begins = np.cumsum(lengths + 1) - lengths - 1
+            ids.append(np.array(found.ids, dtype="<u4"))
             places = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            ends = (4 * np.searchsorted(places, begins + lengths)).tolist()
-            for part, b, e in zip(some, [0, *ends[:-1]], ends):
-                self.known[part] = ids[b:e]
-        for chunk, parts in zip(chunks, cut):
-            if len(parts) != 1 or parts[0] != chunk:
-                self.known[chunk] = b"".join([self.known[p] for p in parts])
-
-    def forget(self) -> None:
-        self.known = {"": b""}
+            counts.append(np.diff(np.searchsorted(places, np.cumsum([len(c) + 1 for c in some]) - 1), prepend=0))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def learn(self, parts: list[str], whole: np.ndarray) -> None:
+        """Ids of new parts, in the order of their numbers; ``whole`` ones are chunks that were not cut."""
+        runs = [p for p, uncut in zip(parts, whole.tolist()) if not uncut]
+        chunks = [self.pieces(p) for p, uncut in zip(parts, whole.tolist()) if uncut]
+        distinct = Numbers()
+        places = np.array([distinct[p] for x in chunks for p in x], dtype=np.int64)
+        run_ids, run_counts = self.encoded_runs(runs)
+        ids, counts = self.encoded_chunks(list(distinct))
+        chunk_ids = ids[ranges((np.cumsum(counts) - counts)[places], counts[places])]
+        stops = np.concatenate([[0], np.cumsum(counts[places])])[np.cumsum([len(x) for x in chunks], dtype=np.int64)]
+        order = np.argsort(whole, kind="stable")  # runs, then chunks
+        counts = np.concatenate([run_counts, np.diff(stops, prepend=0)])
+        begin, count = np.empty((2, len(parts)), dtype=np.int64)
+        begin[order], count[order] = len(self.known) + np.cumsum(counts) - counts, counts
+        self.known = np.concatenate([self.known, run_ids, chunk_ids])
+        self.begin = np.concatenate([self.begin, begin])
+        self.count = np.concatenate([self.count, count])
+
+    def numbered(self, parts: pa.DictionaryArray, whole: np.ndarray) -> np.ndarray:
+        """Numbers of parts, by which their ids are known."""
+        texts, at = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+        if len(self.numbers) + len(texts) > KNOWN_CHUNKS:
+            self.forget()
+        numbers = np.fromiter(map(self.numbers.__getitem__, texts), dtype=np.int64, count=len(texts))
+        if self.numbers.new:
+            uncut = np.zeros(len(texts), dtype=bool)
+            uncut[at[whole]] = True
+            self.learn(self.numbers.new, uncut[numbers >= len(self.begin)])
+            self.numbers.new = []
+        return numbers[at]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids."""
-        parts = [self.chunks(t) for t in texts]
-        new = set().union(*parts) - self.known.keys()
-        if len(self.known) + len(new) > KNOWN_CHUNKS:
-            self.forget()
-            new = set().union(*parts) - self.known.keys()
-        self.learn(list(new))
-        known = self.known
-        return [b"".join([known[c] for c in p]) for p in parts]
+        data = [t.encode() for t in texts]
+        parts, whole, places = cut_parts(b"\n".join(data))
+        numbers = self.numbered(parts, whole)
+        count = self.count[numbers]
+        ids = self.known[ranges(self.begin[numbers], count)].tobytes()
+        text_begins = np.cumsum([0, *(len(t) + 1 for t in data)])
+        offsets = (4 * np.concatenate([[0], np.cumsum(count)]))[np.searchsorted(places, text_begins)].tolist()
+        return [ids[b:e] for b, e in zip(offsets[:-1], offsets[1:])]
 
 
 _PIECES = T.StructType(
